@@ -59,6 +59,6 @@ def override_args(args: Column, add: Column, remove: Column, remove_regex: Colum
     add, remove, remove_regex = (F.coalesce(x, none) for x in (add, remove, remove_regex))
     left = F.filter(
         F.coalesce(args, none),
-        lambda a: ~F.array_contains(remove, a) & ~F.exists(remove_regex, lambda r: a.rlike(r)),
+        lambda a: ~F.array_contains(remove, a) & ~F.exists(remove_regex, lambda r: F.rlike(a, r)),
     )
     return F.concat(left, F.filter(add, lambda a: ~F.array_contains(left, a)))

@@ -43,13 +43,9 @@ DURATION_MS = {
 SIZE_POWERS = {"B": 0, "KB": 1, "MB": 2, "GB": 3, "TB": 4}
 
 # Multipliers of resource-quantity suffixes.
-QUANTITY_FACTORS = {
-    "n": "0.000000001",
-    "u": "0.000001",
-    "m": "0.001",
-    "": "1",
+SMALL_FACTORS = {"n": "0.000000001", "u": "0.000001", "m": "0.001"}
+LARGE_FACTORS = {
     "k": "1000",
-    "K": "1000",
     "M": "1000000",
     "G": "1000000000",
     "T": "1000000000000",
@@ -125,12 +121,16 @@ def parse_quantity(text: Column) -> Column:
     """a resource quantity as DECIMAL(38,9).
 
     ``m`` is a thousandth, ``M`` a million, ``Mi`` 2^20; ``1e3`` is an exponent, ``1E`` a suffix.
-    Out of range gives null.
+    Out of range gives null. With a suffix of ``k`` and above, six decimals of the result count.
     """
-    signed = rf"^([+-]?(?:{_NUMBER}))"
-    suffix = F.regexp_extract(text, signed + r"([KMGTPE]i|[numkKMGTPE]|)$", 2)
-    mantissa = _number(F.regexp_extract(text, signed, 1), 38, 18)
-    scaled = F.try_multiply(mantissa.try_cast("decimal(38,9)"), _lookup(QUANTITY_FACTORS, 28, 9, suffix))
-    exponent = r"[eE][+-]?(?:\d+(?:\.\d*)?|\.\d+)$"
-    plain = F.when(text.rlike(exponent), _number(text)).otherwise(scaled.try_cast("decimal(38,9)"))
-    return F.when(valid_quantity(text), plain)
+    parts = rf"^([+-]?(?:{_NUMBER}))([KMGTPE]i|[numkMGTPE])$"
+    mantissa = _number(F.regexp_extract(text, parts, 1), 28, 9)
+    suffix = F.regexp_extract(text, parts, 2)
+    small = F.try_multiply(mantissa, _lookup(SMALL_FACTORS, 10, 9, suffix))
+    large = F.try_multiply(mantissa, _lookup(LARGE_FACTORS, 19, 0, suffix))
+    scaled = F.when(suffix.isin(*SMALL_FACTORS), small.try_cast("decimal(38,9)")).otherwise(
+        large.try_cast("decimal(38,9)")
+    )
+    # Without a suffix the text is a number as it stands, with or without an exponent.
+    value = F.when(suffix == "", _number(text)).otherwise(scaled)
+    return F.when(valid_quantity(text), value)

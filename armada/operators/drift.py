@@ -23,33 +23,33 @@ def expected_vs_observed(
     """
     latest = F.max_by(value, version) if version else F.max(value)
     seen = observed.groupBy(*keys, field).agg(latest.alias("_seen"))
-    # Existence is one more "field" of each object, so both questions share one join.
-    mark = "\u0000exists"
-    objects = observed.select(*keys).distinct().select(
-        *keys, F.lit(mark).alias(field), F.lit("1").alias("_seen")
-    )
-    facts = seen.filter(F.col(field).isNotNull()).unionByName(objects)
-    wanted = (
-        expected.select(*keys).distinct().select(
-            *keys, F.lit(mark).alias(field), F.lit("1").alias(value)
-        )
-        .unionByName(expected.filter(F.col(field).isNotNull()).select(*keys, field, value))
+    objects = seen.select(*keys).distinct()
+    asked = expected.select(*keys, field, value)
+
+    lost = asked.select(*keys).distinct().join(objects, keys, "left_anti")
+    nothing = F.lit(None).cast("string")
+    missing = lost.select(
+        *keys,
+        F.lit("missing").alias("problem"),
+        nothing.alias(field),
+        nothing.alias("expected"),
+        nothing.alias("observed"),
     )
-    compared = wanted.join(facts, [*keys, field], "left")
-    absent = F.col(field) == mark
-    differs = ~F.col(value).eqNullSafe(F.col("_seen"))
-    broken = compared.filter(differs)
-    lost = broken.filter(absent).select(*keys)
-    rows = broken.join(lost.withColumn("_lost", F.lit(True)), keys, "left").filter(
-        absent | F.col("_lost").isNull()
+
+    compared = (
+        asked.filter(F.col(field).isNotNull())
+        .join(objects, keys, "left_semi")
+        .join(seen, [*keys, field], "left")
+        .filter(~F.col(value).eqNullSafe(F.col("_seen")))
     )
-    return rows.select(
+    mismatch = compared.select(
         *keys,
-        F.when(absent, "missing").otherwise("mismatch").alias("problem"),
-        F.when(~absent, F.col(field)).alias(field),
-        F.when(~absent, F.col(value)).alias("expected"),
-        F.when(~absent, F.col("_seen")).alias("observed"),
+        F.lit("mismatch").alias("problem"),
+        field,
+        F.col(value).alias("expected"),
+        F.col("_seen").alias("observed"),
     )
+    return missing.unionByName(mismatch)
 
 
 def required_members(

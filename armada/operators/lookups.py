@@ -52,17 +52,18 @@ def secret_verdict(
     With ``keys`` (array column of ``secrets``) and ``needed``, ``missing_keys`` lists the keys
     that are read but absent.
     """
-    columns = [F.lit(True).alias("_found")]
+    lacking = F.lit(None)
     if keys:
-        lacking = F.array_except(
-            F.array(*[F.lit(k) for k in needed]), F.array_sort(F.array_distinct(keys))
-        )
-        columns.append(lacking.alias("_lacking"))
+        lacking = F.array_except(F.array(*[F.lit(k) for k in needed]), F.col(keys))
     held = (
         secrets.select(
-            F.col(secret_namespace).alias("_ns"), F.col(secret_name).alias("_secret"), *columns
+            F.col(secret_namespace).alias("_ns"),
+            F.col(secret_name).alias("_secret"),
+            lacking.alias("_missing"),
         )
-        .dropDuplicates(["_ns", "_secret"])
+        .groupBy("_ns", "_secret")
+        .agg(F.min("_missing").alias("_lacking"))
+        .withColumn("_found", F.lit(True))
     )
     match = (F.col(namespace) == F.col("_ns")) & (F.col(secret) == F.col("_secret"))
     joined = clusters.join(held, match, "left")
@@ -115,9 +116,10 @@ def resolve_auth(
     choice = F.lit(None).cast("string")
     for provider in reversed(values.AUTH_TYPES):
         choice = F.when(conditions[provider], F.lit(provider)).otherwise(choice)
-    ranked = auth_classes.select(
+    named = auth_classes.select(
         F.col(class_name).alias("_class"), F.coalesce(choice, F.lit("unsupported")).alias("_auth")
-    ).dropDuplicates(["_class"])
+    )
+    ranked = named.groupBy("_class").agg(F.min("_auth").alias("_auth"))
     joined = clusters.join(ranked, F.col(auth_class) == F.col("_class"), "left")
     return joined.withColumn("auth", F.coalesce("_auth", F.lit("auth_class_missing"))).drop(
         "_class", "_auth"
