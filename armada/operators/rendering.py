@@ -65,14 +65,14 @@ def expand_templates(
     """
     keys = [cluster, *file_id]
     names = F.array_distinct(F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(1)))
-    used = files.select(*keys, F.explode(names).alias("_name")).distinct()
+    used = files.select(*keys, F.explode(names).alias("_name"))
     bound = env.groupBy(
         F.col(cluster).alias("_cluster"), F.col(env_name).alias("_env")
     ).agg(F.max(env_value).alias("_value"))
     match = (F.col(cluster) == F.col("_cluster")) & (F.col("_name") == F.col("_env"))
     found = used.join(bound, match).filter(F.col("_value").isNotNull())
     lookup = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_name", "_value"))).alias("_bindings")
+        F.map_from_entries(F.collect_set(F.struct("_name", "_value"))).alias("_bindings")
     )
     joined = files.join(lookup, keys, "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,15 +132,15 @@ def budget_keep(
     component: str,
     order: list[str],
     size: str,
-    capacity: int,
+    capacity: int | Column,
     ratio: float = values.ARCHIVE_RATIO,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Newest first, keep items while their running size fits into ratio x capacity.
 
-    ``order`` puts the newest first, for example ``["-ts", "-id"]``.
+    ``order`` puts the newest first, for example ``["-ts", "-id"]``. ``capacity`` may be a column.
     """
-    budget = int(capacity * ratio)
+    budget = F.floor(F.lit(capacity) * F.lit(ratio))
     summed = running(items, [component], order, F.col(size), "running_size", "sum", rows_per_task)
     return summed.filter(F.col("running_size") <= budget)
 

@@ -201,11 +201,11 @@ def failure_runs(spark, sf):
     """SELECT doc_id, source, running_size FROM (
         SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC)
             AS BIGINT) AS running_size FROM documents)
-    WHERE running_size <= 200000""",
+    WHERE running_size <= 50000""",
 )
 def budget_keep(spark, sf):
     items = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    kept = sequences.budget_keep(items, "source", ["-doc_id"], "n_chars", 400_000)
+    kept = sequences.budget_keep(items, "source", ["-doc_id"], "n_chars", 100_000)
     return kept.select("doc_id", "source", "running_size")
 
 

@@ -1,5 +1,7 @@
 """Upkeep of component events."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from armada.operators import components, upkeep
@@ -9,6 +11,9 @@ from armada.streaming.rollover import rollover_segments
 from armada.streaming.snapshots import snapshot_last
 from queries.registry import query, table
 
+# The file a user's component comes in.
+COMPONENT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "sent", "measure_component.py")
+
 
 @query(
     "p13_retain",
@@ -102,6 +107,6 @@ def process_records(spark, sf):
 )
 def apply_component(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    components.ship(spark, __file__.rsplit("/", 1)[0] + "/sent/measure_component.py")
+    components.ship(spark, COMPONENT)
     done = components.apply_component(turns, "text", "measure_component:Measure")
     return done.select("conv_id", "turn", "processed")
