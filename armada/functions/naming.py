@@ -22,12 +22,11 @@ def job_name(cluster: Column, version: Column) -> Column:
 def content_path(mount: Column | str, folder: Column) -> Column:
     """where a synced folder appears below its mount.
 
-    One leading slash is stripped, the rest is joined below the link to the current revision,
-    repeated slashes collapse and a trailing one goes. ``..`` is not resolved.
+    The folder is joined below the link to the current revision; repeated slashes collapse, which
+    also takes care of a leading one, and trailing ones go. ``..`` is not resolved.
     """
-    inner = F.regexp_replace(F.coalesce(folder, F.lit("")), "^/", "")
-    joined = F.concat_ws("/", _text(mount), F.lit(values.LINK_NAME), inner)
-    return F.regexp_replace(F.regexp_replace(joined, "/{2,}", "/"), "(.)/$", "$1")
+    joined = F.concat_ws("/", _text(mount), F.lit(values.LINK_NAME), folder)
+    return F.rtrim(F.regexp_replace(joined, "//+", "/"), F.lit("/"))
 
 
 def service_host(cluster: Column, namespace: Column) -> Column:

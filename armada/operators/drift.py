@@ -23,33 +23,22 @@ def expected_vs_observed(
     """
     latest = F.max_by(value, version) if version else F.max(value)
     seen = observed.groupBy(*keys, field).agg(latest.alias("_seen"))
-    objects = seen.select(*keys).distinct()
+    objects = seen.select(*keys).distinct().withColumn("_there", F.lit(True))
     asked = expected.select(*keys, field, value)
 
-    lost = asked.select(*keys).distinct().join(objects, keys, "left_anti")
-    nothing = F.lit(None).cast("string")
-    missing = lost.select(
-        *keys,
-        F.lit("missing").alias("problem"),
-        nothing.alias(field),
-        nothing.alias("expected"),
-        nothing.alias("observed"),
-    )
-
-    compared = (
-        asked.filter(F.col(field).isNotNull())
-        .join(objects, keys, "left_semi")
-        .join(seen, [*keys, field], "left")
-        .filter(~F.col(value).eqNullSafe(F.col("_seen")))
+    absent = F.col("_there").isNull()
+    differs = F.col(field).isNotNull() & ~F.col(value).eqNullSafe(F.col("_seen"))
+    broken = (
+        asked.join(objects, keys, "left").join(seen, [*keys, field], "left").filter(absent | differs)
     )
-    mismatch = compared.select(
+    # Only problems are left here, so folding the repeats of a missing object is cheap.
+    return broken.select(
         *keys,
-        F.lit("mismatch").alias("problem"),
-        field,
-        F.col(value).alias("expected"),
-        F.col("_seen").alias("observed"),
-    )
-    return missing.unionByName(mismatch)
+        F.when(absent, "missing").otherwise("mismatch").alias("problem"),
+        F.when(~absent, F.col(field)).alias(field),
+        F.when(~absent, F.col(value)).alias("expected"),
+        F.when(~absent, F.col("_seen")).alias("observed"),
+    ).distinct()
 
 
 def required_members(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armada.functions import units
 from armada.operators.ordered import parts
 
-PLACEHOLDER = r'\{\{\s*getenv\s+"([^"]+)"\s*\}\}'
+PLACEHOLDER = r'\{\{\s*getenv\s+"[^"]+"\s*\}\}'
 
 # Longer documents are cut, so that one row never grows without bound.
 LINES_PER_PART = 100_000
@@ -64,8 +64,7 @@ def expand_templates(
     columns that identify a file within its cluster.
     """
     keys = [cluster, *file_id]
-    names = F.array_distinct(F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(1)))
-    used = files.select(*keys, F.explode(names).alias("_name"))
+    used = files.select(*keys, F.explode(F.array_distinct(_names(_marks(body)))).alias("_name"))
     bound = env.groupBy(
         F.col(cluster).alias("_cluster"), F.col(env_name).alias("_env")
     ).agg(F.max(env_value).alias("_value"))
@@ -74,21 +73,39 @@ def expand_templates(
     lookup = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("_name", "_value"))).alias("_bindings")
     )
-    joined = files.join(lookup, keys, "left")
-
-    marks = F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(0))
-    order = F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(1))
-    between = F.split(body, PLACEHOLDER, -1)
-    bindings = F.coalesce(
-        F.col("_bindings"), F.create_map().cast("map<string,string>")
+    bindings = F.coalesce("_bindings", F.create_map().cast("map<string,string>"))
+    marked = files.join(lookup, keys, "left").withColumns(
+        {"_marks": _marks(body), "_bindings": bindings}
+    )
+    values = F.transform(
+        "_marks", lambda m: F.coalesce(F.try_element_at(F.col("_bindings"), _name(m)), m)
     )
-    filled = F.zip_with(order, marks, lambda n, m: F.coalesce(F.try_element_at(bindings, n), m))
-    # One more piece of text than placeholders: pad the values, then join pairwise.
-    pieces = F.zip_with(between, filled, lambda t, v: F.concat(t, F.coalesce(v, F.lit(""))))
-    unbound = F.array_sort(F.filter(names, lambda n: ~F.map_contains_key(bindings, n)))
-    return joined.withColumn("_expanded", F.array_join(pieces, "")).withColumn(
-        "unresolved", unbound
-    ).withColumn(body, F.col("_expanded")).drop("_expanded", "_bindings")
+    unbound = F.filter(_names(F.col("_marks")), lambda n: ~F.map_contains_key("_bindings", n))
+    # One more piece of text than placeholders; the last value is missing and adds nothing.
+    pieces = F.zip_with(
+        F.split(body, PLACEHOLDER, -1), values, lambda t, v: F.concat(t, F.coalesce(v, F.lit("")))
+    )
+    some = F.size("_marks") > 0
+    return marked.withColumns(
+        {
+            "unresolved": F.array_sort(F.array_distinct(unbound)),
+            body: F.when(some, F.array_join(pieces, "")).otherwise(F.col(body)),
+        }
+    ).drop("_marks", "_bindings")
+
+
+def _marks(body: str) -> Column:
+    """Placeholders of a text as they are written."""
+    found = F.regexp_extract_all(body, F.lit(PLACEHOLDER), F.lit(0))
+    return F.when(F.col(body).contains("{{"), found).otherwise(F.array().cast("array<string>"))
+
+
+def _name(mark: Column) -> Column:
+    return F.substring_index(F.substring_index(mark, '"', 2), '"', -1)
+
+
+def _names(marks: Column) -> Column:
+    return F.transform(marks, _name)
 
 
 def explode_lines(df: DataFrame, col: str, keep: list[str] | None = None) -> DataFrame:
@@ -98,15 +115,28 @@ def explode_lines(df: DataFrame, col: str, keep: list[str] | None = None) -> Dat
     return lines.filter(F.col("line") != "")
 
 
-def lint_placeholders(files: DataFrame, body: str, keep: list[str] | None = None) -> DataFrame:
-    """lines whose opening and closing braces differ in number."""
-    lines = explode_lines(files, body, keep)
+def unbalanced_lines(body: str) -> Column:
+    """Lines of a text whose opening and closing braces differ in number."""
 
-    def count(mark: str):
-        return F.length("line") - F.length(F.replace(F.col("line"), F.lit(mark)))
+    def count(line: Column, mark: str) -> Column:
+        return F.length(line) - F.length(F.replace(line, F.lit(mark)))
 
-    counted = lines.withColumn("opened", count("{")).withColumn("closed", count("}"))
-    return counted.filter(F.col("opened") != F.col("closed"))
+    judged = F.transform(
+        F.split(body, "\n", -1),
+        lambda line, i: F.struct(
+            i.alias("pos"),
+            line.alias("line"),
+            count(line, "{").alias("opened"),
+            count(line, "}").alias("closed"),
+        ),
+    )
+    return F.filter(judged, lambda j: j["opened"] != j["closed"])
+
+
+def lint_placeholders(files: DataFrame, body: str, keep: list[str] | None = None) -> DataFrame:
+    """one row per line with unbalanced braces."""
+    keep = keep if keep is not None else [c for c in files.columns if c != body]
+    return files.select(*keep, F.inline(unbalanced_lines(body)))
 
 
 def normalise_units(props: DataFrame, value: str = "value", step: int = 1024) -> DataFrame:

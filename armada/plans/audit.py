@@ -11,9 +11,9 @@ from armada.operators.drift import expected_vs_observed
 from armada.operators.lookups import resolve_auth, secret_verdict
 from armada.operators.rendering import (
     expand_templates,
-    lint_placeholders,
     normalise_units,
     render_files,
+    unbalanced_lines,
 )
 from armada.operators.rules import Rule, apply_defaults, auth_cardinality, reporting_gate, validate
 from armada.operators.sequences import index_entries, pick_first_eligible
@@ -111,10 +111,12 @@ def configuration_audit(
     """
     files = render_files(props, ["cluster", "file"], pos=pos)
     expanded = expand_templates(files, env, "cluster", ["file", "part"])
-    unbound = expanded.select(
-        "cluster", "file", F.lit("unresolved").alias("finding"), F.explode("unresolved").alias("detail")
+    unbound = F.transform(
+        "unresolved", lambda n: F.struct(F.lit("unresolved").alias("finding"), n.alias("detail"))
     )
-    uneven = lint_placeholders(expanded, "body", ["cluster", "file"]).select(
-        "cluster", "file", F.lit("unbalanced").alias("finding"), F.col("line").alias("detail")
+    uneven = F.transform(
+        unbalanced_lines("body"),
+        lambda l: F.struct(F.lit("unbalanced").alias("finding"), l["line"].alias("detail")),
     )
-    return expanded, unbound.unionByName(uneven), normalise_units(props)
+    findings = expanded.select("cluster", "file", F.inline(F.concat(unbound, uneven)))
+    return expanded, findings, normalise_units(props)
