@@ -9,8 +9,9 @@ aggregate over the key columns only) and then take one of two ways:
   even size. Every slice is worked on alone, and what earlier slices contribute is added from a
   table with one row per (slice, group).
 
-Both give the same result. Order columns are written as ``"ts"`` or ``"-ts"`` (descending) and
-should end in a unique column; rows that tie on all of them stay in one slice.
+Both give the same result. Order columns are written as ``"ts"`` or ``"-ts"`` (descending). Large
+groups get a row number of their own as the last order column, so copies of one row, which tie on
+everything, are cut as well.
 """
 
 from __future__ import annotations
@@ -34,10 +35,6 @@ def sort_columns(order: list[str]) -> list[Column]:
     return [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
 
 
-def order_names(order: list[str]) -> list[str]:
-    return [o.lstrip("-") for o in order]
-
-
 def same_key(left: list[str], right: list[str]) -> Column:
     """Null-safe equality of two key lists."""
     return reduce(
@@ -78,6 +75,11 @@ def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
     )
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Add ``_row``, a unique number that stays with its row."""
+    return pin(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def slices(
     df: DataFrame, group: list[str], order: list[str], rows: int, rows_per_task: int
 ) -> DataFrame:
@@ -136,7 +138,8 @@ def running(
     if split.hot is None:
         return plain
 
-    sliced = slices(split.hot, group, order, split.hot_rows, rows_per_task)
+    order = [*order, "_row"]
+    sliced = slices(numbered(split.hot), group, order, split.hot_rows, rows_per_task)
     carried = _carried(sliced, group, combine(value), combine)
     local = _with_carry(windowed(sliced, ["_slice", *group]), carried, group)
     if how == "sum":
@@ -167,10 +170,8 @@ def top_per_group(
     # First keep n rows per (group, salt); the rest cannot be among the first n of the group.
     # What is left may still be many rows for a large n, so it is counted off in slices.
     salts = math.ceil(split.hot_rows / rows_per_task)
-    salted = split.hot.withColumn(
-        "_salt", F.pmod(F.xxhash64(*order_names(order)), F.lit(salts))
-    )
-    left = ranked(salted, [*group, "_salt"]).drop("_salt")
+    salted = numbered(split.hot).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+    left = ranked(salted, [*group, "_salt"]).drop("_salt", "_row")
     counted = running(left, group, order, F.lit(1), "_place", "sum", rows_per_task)
     return plain.unionByName(counted.filter(F.col("_place") <= n).drop("_place"))
 
@@ -181,14 +182,17 @@ def parts(
     order: list[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add ``part``: 0 for groups of ordinary size, else consecutive slice numbers from 0."""
+    """Add ``part``: 0 for groups of ordinary size, else consecutive slice numbers from 0.
+
+    The rows of a group are expected to differ in the order columns.
+    """
     split = split_hot(df, group, rows_per_task)
     plain = split.cold.withColumn("part", F.lit(0).cast("long"))
     if split.hot is None:
         return plain
     sliced = slices(split.hot, group, order, split.hot_rows, rows_per_task)
     carried = _carried(sliced, group, F.lit(1).cast("long"), F.sum)
-    numbered = _with_carry(sliced, carried, group).select(
+    counted = _with_carry(sliced, carried, group).select(
         *df.columns, F.coalesce(F.col("_carry"), F.lit(0)).cast("long").alias("part")
     )
-    return plain.unionByName(numbered)
+    return plain.unionByName(counted)

@@ -184,18 +184,42 @@ def index_entries(
     )
 
 
-def stable_order(df: DataFrame, key: str, ties: list[str] | None = None) -> DataFrame:
+def stable_order(
+    df: DataFrame,
+    key: str,
+    ties: list[str] | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
     """L1: ascending bytewise order of ``key``.
 
     The remaining plain columns break ties, so that repeated runs agree and a key with very many
-    rows can be cut across several range partitions.
+    rows can be cut across several range partitions. Very many copies of one row, which no column
+    can tell apart, travel as counted packs of at most ``rows_per_task`` and unfold after the sort.
     """
     if ties is None:
         nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
         ties = [
             f.name for f in df.schema if f.name != key and not isinstance(f.dataType, nested)
         ]
-    return df.orderBy(F.asc(key), *[F.asc(t) for t in ties])
+    order = [F.asc(key), *[F.asc(t) for t in ties]]
+    comparable = not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema)
+    busy = split_hot(df, [key], rows_per_task) if comparable else None
+    copies = split_hot(df, df.columns, rows_per_task) if busy and busy.hot is not None else None
+    if copies is None or copies.hot is None:
+        return df.orderBy(*order)
+
+    size = F.lit(rows_per_task).cast("long")
+    pack = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / size)))
+    packed = (
+        copies.hot.groupBy(*df.columns)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*df.columns, pack.alias("_pack"), "_n")
+        .withColumn("_n", F.least(size, F.col("_n") - F.col("_pack") * size))
+    )
+    single = copies.cold.withColumns({"_pack": F.lit(0).cast("long"), "_n": F.lit(1).cast("long")})
+    ordered = single.unionByName(packed).orderBy(*order, "_pack")
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+    return ordered.withColumn("_one", one).drop("_one", "_pack", "_n")
 
 
 def first_n(

@@ -1,106 +1,66 @@
-"""Alerts on consecutive failures.
-
-Two steps. The first is an ordinary windowed aggregate per (target, slice of time): when the
-watermark closes a slice, its probes are sorted inside the row and reduced to a short summary. A
-busy target is thus spread over as many tasks as it has slices. The second step puts the
-summaries of each micro-batch in order and carries over only the length of each run that is still
-open, in a table with one row per failing target.
-"""
+"""Alerts on consecutive failures."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from armada import values
-from armada.streaming.times import DELAY, with_event_time
+from armada.operators.ordered import ROWS_PER_TASK, running
+from armada.streaming.closing import ClosedWindows
+from armada.streaming.times import DELAY
 
 
-def slice_summaries(
+def threshold_crossings(
     probes: DataFrame,
+    open_runs: DataFrame,
     target: str,
     ts: str,
     tie: str,
     ok: str,
     threshold: int,
-    every: str = "1 minute",
-    delay: str = DELAY,
-) -> DataFrame:
-    """What a slice contributes to runs that may reach over its borders.
+    rows_per_task: int = ROWS_PER_TASK,
+) -> tuple[DataFrame, DataFrame]:
+    """Alerts within a stretch of probes, and the runs that are open after it.
 
-    ``lead`` failures come before the first success (their first ``threshold`` times are kept,
-    since an alert may fall on any of them), ``tail`` failures after the last; ``inner`` are the
-    times at which runs that began in this slice reached the threshold.
+    ``open_runs`` has (target, run): failures in a row at the end of everything before. Both steps
+    go through ``running``, so neither a busy target nor a very long run ends up in one task.
     """
-    probe = F.struct(
-        F.col(ts).alias("at"), F.col(tie).alias("tie"), F.coalesce(F.col(ok), F.lit(False)).alias("ok")
-    )
-    grouped = (
-        with_event_time(probes, ts, delay)
-        .groupBy(F.window(ts, every), target)
-        .agg(F.array_sort(F.collect_list(probe)).alias("_p"))
-    )
-    p = F.col("_p")
-    n = F.size(p)
-    # Positions of the successes, counted from 1.
-    good: Column = F.filter(
-        F.transform(p, lambda x, i: F.when(x["ok"], i + 1)), lambda i: i.isNotNull()
+    rows = probes.select(
+        F.col(target).alias("target"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
+        F.coalesce(F.col(ok), F.lit(False)).alias("ok"),
     )
-    staged = grouped.withColumn("_good", good)
-    g = F.col("_good")
-    any_ok = F.size(g) > 0
-    lead = F.when(any_ok, F.element_at(g, 1) - 1).otherwise(n)
-    ends = F.concat(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), F.array(n + 1))
-    reached = F.filter(
-        F.zip_with(g, ends, lambda a, b: F.when(b - a - 1 >= threshold, a + threshold)),
-        lambda i: i.isNotNull(),
+    success = F.when(F.col("ok"), F.struct("ts", "tie"))
+    marked = running(rows, ["target"], ["ts", "tie"], success, "_after", "max", rows_per_task)
+    failed = marked.filter(~F.col("ok"))
+    placed = running(
+        failed, ["target", "_after"], ["ts", "tie"], F.lit(1), "_place", "sum", rows_per_task
     )
-    return staged.select(
-        F.window_time("window").alias("slice_time"),
-        F.col(target).alias("target"),
-        lead.alias("lead"),
-        F.transform(F.slice(p, 1, F.least(lead, F.lit(threshold))), lambda x: x["at"]).alias("lead_at"),
-        any_ok.alias("any_ok"),
-        F.when(any_ok, n - F.element_at(g, -1)).otherwise(F.lit(0)).alias("tail"),
-        F.when(any_ok, F.transform(reached, lambda i: F.element_at(p, i)["at"]))
-        .otherwise(F.array().cast("array<timestamp>"))
-        .alias("inner"),
+    carried = open_runs.select("target", F.col("run").alias("_run"))
+    # Only a run without a success before it continues one from before.
+    added = F.when(F.col("_after").isNull(), F.coalesce("_run", F.lit(0))).otherwise(F.lit(0))
+    alerts = (
+        placed.filter(F.col("_place") <= threshold)
+        .join(carried, "target", "left")
+        .filter(F.col("_place") + added == threshold)
+        .select("target", F.col("ts").alias("alert_at"))
     )
-
-
-def _alerts_of(summaries: DataFrame, open_runs: DataFrame, threshold: int):
-    """Alerts within one batch of closed slices, and the runs open after it."""
-    # An open run is a slice before all others that consists of that many failures.
-    before = open_runs.select(
-        F.lit(None).cast("timestamp").alias("slice_time"),
-        "target",
-        F.col("run").alias("_adds"),
-        F.lit(False).alias("any_ok"),
-    )
-    rows = summaries.withColumn(
-        "_adds", F.when(F.col("any_ok"), F.col("tail")).otherwise(F.col("lead")).cast("long")
-    ).unionByName(before, allowMissingColumns=True)
-
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    ordered = Window.partitionBy("target").orderBy("slice_time")
-    resets = F.sum(F.col("any_ok").cast("int")).over(ordered.rowsBetween(*upto))
-    within = Window.partitionBy("target", "_resets").orderBy("slice_time").rowsBetween(*upto)
-    lengths = (
-        rows.withColumn("_resets", resets)
-        .withColumn("_after", F.sum("_adds").over(within))
-        .withColumn("_before", F.coalesce(F.lag("_after").over(ordered), F.lit(0)))
+    runs = marked.groupBy("target", "_after").agg(
+        F.count(F.when(~F.col("ok"), 1)).alias("_failures")
     )
-    crossed = (F.col("_before") < threshold) & (F.col("_before") + F.col("lead") >= threshold)
-    at_lead = F.when(
-        crossed, F.array(F.try_element_at("lead_at", (threshold - F.col("_before")).cast("int")))
-    ).otherwise(F.array().cast("array<timestamp>"))
-    alerts = lengths.filter(F.col("slice_time").isNotNull()).select(
-        "target", F.explode(F.concat(at_lead, "inner")).alias("alert_at")
+    last = runs.groupBy("target").agg(
+        F.max_by(F.struct("_failures", F.col("_after").isNull().alias("_same")), F.struct("_after")).alias("_l")
     )
     still_open = (
-        lengths.groupBy("target")
-        .agg(F.max_by("_after", F.struct("slice_time")).alias("run"))
+        last.join(carried, "target", "full")
+        .select(
+            "target",
+            F.when(F.col("_l").isNull(), F.col("_run"))
+            .when(F.col("_l._same"), F.col("_l._failures") + F.coalesce("_run", F.lit(0)))
+            .otherwise(F.col("_l._failures"))
+            .alias("run"),
+        )
         .filter(F.col("run") > 0)
     )
     return alerts, still_open
@@ -116,30 +76,36 @@ def failure_alerts(
     threshold: int = values.LIVENESS_FAILURES,
     every: str = "1 minute",
     delay: str = DELAY,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataStreamWriter:
     """One alert when a target reaches ``threshold`` consecutive failures; a success resets.
 
-    Probes count in event-time order once the watermark has passed their slice; later ones are
-    dropped. Give the writer a trigger and start it; ``read_alerts`` has the result. Each batch
+    Probes count in event-time order once their slice of time (``every``) is closed; later ones
+    are dropped. Between batches only the length of each open run is kept, one row per failing
+    target. Give the writer a trigger and start it; ``read_alerts`` has the result. Each batch
     replaces its own output, so a repeated batch changes nothing.
     """
-    spark = probes.sparkSession
-    summaries = slice_summaries(probes, target, ts, tie, ok, threshold, every, delay)
+    windows = ClosedWindows(path, ts, every, delay)
     kind = probes.schema[target].dataType.simpleString()
     run_schema = f"target {kind}, run long"
+    kept = list(dict.fromkeys([target, ts, tie, ok]))
 
-    def handle(closed: DataFrame, batch: int) -> None:
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        spark = batch_rows.sparkSession
+        closed = windows.take(batch_rows, batch)
         if batch:
             open_runs = spark.read.schema(run_schema).parquet(f"{path}/open/{batch - 1}")
         else:
             open_runs = spark.createDataFrame([], run_schema)
-        alerts, still_open = _alerts_of(closed, open_runs, threshold)
+        alerts, still_open = threshold_crossings(
+            closed, open_runs, target, ts, tie, ok, threshold, rows_per_task
+        )
         still_open.write.mode("overwrite").parquet(f"{path}/open/{batch}")
         alerts.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
 
     return (
-        summaries.writeStream.outputMode("append")
-        .option("checkpointLocation", f"{path}/progress")
+        probes.select(*kept)
+        .writeStream.option("checkpointLocation", f"{path}/progress")
         .foreachBatch(handle)
     )
 

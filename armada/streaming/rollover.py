@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armada import values
 from armada.operators.ordered import ROWS_PER_TASK, running
+from armada.streaming.closing import ClosedWindows, replace_partitions
 from armada.streaming.times import DELAY
 
 
@@ -36,7 +37,6 @@ def rollover_segments(
 
 
 def roll_closed_windows(
-    spark: SparkSession,
     path: str,
     ts: str,
     tie: str,
@@ -48,57 +48,14 @@ def roll_closed_windows(
 ) -> Callable[[DataFrame, int], None]:
     """T2 on a stream: a ``foreachBatch`` function that rolls each window once it is closed.
 
-    Rows wait in ``<path>/waiting`` by window and batch; ``<path>/latest/<batch>`` has the latest
-    event time up to that batch. A window closes when the latest time of *earlier* batches has
-    passed its end by ``delay``; it is then read back, cut like a table, and written to
-    ``<path>/segments``. Rows of a window that had closed before their batch are late and dropped.
-    Every write replaces what the same batch wrote before, so a repeated batch changes nothing.
+    Closed windows are cut like a table and written to ``<path>/segments``, one folder each. A
+    repeated batch writes the same folders again.
     """
-    shift = F.expr(f"INTERVAL {delay}")
-
-    def latest(batch: int) -> DataFrame:
-        """Latest event time up to a batch; one row, or none before the first."""
-        if batch < 0:
-            return spark.createDataFrame([], "latest timestamp")
-        return spark.read.schema("latest timestamp").parquet(f"{path}/latest/{batch}")
-
-    def closed_until(batch: int):
-        return latest(batch - 1).agg((F.max("latest") - shift).alias("w")).first()["w"]
-
-    def replace(rows: DataFrame, target: str, *by: str) -> None:
-        (
-            rows.hint("rebalance", by[0])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("compression", "zstd")
-            .partitionBy(*by)
-            .parquet(target)
-        )
+    windows = ClosedWindows(path, ts, every, delay)
 
     def handle(batch_rows: DataFrame, batch: int) -> None:
-        limit, previous = closed_until(batch), closed_until(batch - 1)
-        placed = batch_rows.withColumn("_w", F.window(ts, every))
-        if limit is not None:
-            placed = placed.filter(F.col("_w.end") > F.lit(limit))
-        placed = placed.withColumns({"window_start": F.col("_w.start"), "batch": F.lit(batch)})
-        replace(placed.drop("_w"), f"{path}/waiting", "window_start", "batch")
-
-        times = batch_rows.select(F.col(ts).alias("latest")).unionByName(latest(batch - 1))
-        times.agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(
-            f"{path}/latest/{batch}"
-        )
-        if limit is None:
-            return
-
-        names = batch_rows.columns
-        ended = F.col("window_start") + F.expr(f"INTERVAL {every}")
-        ready = spark.read.parquet(f"{path}/waiting").filter(ended <= F.lit(limit))
-        if previous is not None:
-            ready = ready.filter(ended > F.lit(previous))
-        cut = rollover_segments(
-            ready.filter(F.col("batch") < batch).select(*names),
-            ts, tie, size, every, max_bytes, rows_per_task,
-        )
-        replace(cut, f"{path}/segments", "segment_start")
+        closed = windows.take(batch_rows, batch)
+        cut = rollover_segments(closed, ts, tie, size, every, max_bytes, rows_per_task)
+        replace_partitions(cut, f"{path}/segments", "segment_start")
 
     return handle

@@ -5,8 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from armada.operators.ordered import parts, running, top_per_group
-from armada.operators.sequences import budget_keep, failure_runs, time_to_success
+from armada.operators.ordered import numbered, parts, running, slices, top_per_group
+from armada.operators.sequences import (
+    budget_keep,
+    failure_runs,
+    stable_order,
+    time_to_success,
+)
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +121,30 @@ def test_first_success_against_plain_python(skewed):
     ]
     assert sorted(got) == sorted(want)
     assert {v for _, v, _ in want} == {"PASS", "FAIL"}
+
+
+def test_copies_of_one_row(spark):
+    """A third of all rows are the same row; every way must still agree with the plain one."""
+    rows = [("a", 5, 5, False, 7)] * 100 + [
+        (f"k{i % 9}", i % 13, i, i % 4 == 0, i % 6) for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "k string, t int, id int, ok boolean, size int").withColumn(
+        "ts", F.timestamp_seconds(F.col("t"))
+    )
+    args = (df, ["k"], ["t", "id"], F.col("size"), "r", "sum")
+    same(running(*args), running(*args, rows_per_task=20))
+    args = (df, ["k"], ["t", "id"], 30)
+    same(top_per_group(*args), top_per_group(*args, rows_per_task=20))
+    args = (df, "k", "ts", "id", "ok", 4)
+    same(failure_runs(*args), failure_runs(*args, rows_per_task=20))
+    plain = stable_order(df.drop("ts"), "k").collect()
+    packed = stable_order(df.drop("ts"), "k", rows_per_task=15).collect()
+    assert plain == packed and len(plain) == 300
+
+
+def test_slices_are_even(spark):
+    """No slice of a group of copies is much larger than asked for."""
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.lit(1).alias("t"))
+    cut = slices(numbered(df), ["k"], ["t", "_row"], 4000, 500)
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1500

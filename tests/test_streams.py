@@ -49,9 +49,12 @@ def test_snapshots(events, stream):
     assert got.count() > 50
 
 
-def test_alerts_match_runs(spark, events, stream):
+@pytest.mark.parametrize("rows_per_task", [30, 2_000_000])
+def test_alerts_match_runs(spark, events, stream, rows_per_task):
     path = new_path(spark, "alerts")
-    writer = failure_alerts(stream, path, "k", "ts", "id", "ok", 5, every="1 minute", delay="1 minute")
+    writer = failure_alerts(
+        stream, path, "k", "ts", "id", "ok", 5, "1 minute", "1 minute", rows_per_task
+    )
     writer.trigger(availableNow=True).start().awaitTermination()
     got = sorted(map(tuple, read_alerts(spark, path).collect()))
     # In plain Python over the closed slices.
@@ -73,7 +76,7 @@ def test_alerts_match_runs(spark, events, stream):
 
 def test_rolled_windows(spark, events, stream):
     path = new_path(spark, "rolled")
-    sink = roll_closed_windows(spark, path, "ts", "id", "bytes", delay="1 minute", max_bytes=40)
+    sink = roll_closed_windows(path, "ts", "id", "bytes", delay="1 minute", max_bytes=40)
     query = (
         stream.writeStream.foreachBatch(sink)
         .option("checkpointLocation", f"{path}/progress")
@@ -82,8 +85,7 @@ def test_rolled_windows(spark, events, stream):
     )
     query.awaitTermination()
     got = spark.read.parquet(f"{path}/segments").select("id", "segment_start", "segment_no")
-    # The last batch closes nothing, so windows are closed by the third.
-    top = max(event(i)[1] for i in range(450)) - timedelta(minutes=1)
+    top = max(event(i)[1] for i in range(600)) - timedelta(minutes=1)
     whole = rollover_segments(events, "ts", "id", "bytes", max_bytes=40, rows_per_task=25)
     want = whole.filter(F.col("segment_start") + F.expr("INTERVAL 10 minutes") <= F.lit(top))
     assert sorted(map(tuple, got.collect())) == sorted(
