@@ -70,6 +70,42 @@ def quantity(field: str) -> Rule:
     return Rule(field, "quantity", ~F.col(field).rlike(values.QUANTITY_PATTERN))
 
 
+def git_rules() -> list[Rule]:
+    """Rules of one git-sync entry (columns ``repo``, ``depth``)."""
+    return [required("repo"), minimum("depth", 0)]
+
+
+def key_rules(algorithm_prefix: str = "") -> list[Rule]:
+    """Rules of the sensitive-key settings (columns ``key_secret``, ``algorithm``)."""
+    allowed = tuple(algorithm_prefix + a for a in values.ALGORITHMS)
+    return [required("key_secret"), one_of("algorithm", allowed)]
+
+
+def condition_rules() -> list[Rule]:
+    """Rules of one status condition (the columns of ``explode_conditions``)."""
+    return [
+        *[required(c) for c in ("type", "status", "reason", "message", "lastTransitionTime")],
+        one_of("status", values.CONDITION_STATES),
+        pattern("type", values.TYPE_PATTERN),
+        max_length("type", values.TYPE_MAX_LENGTH),
+        min_length("reason", 1),
+        max_length("reason", values.REASON_MAX_LENGTH),
+        pattern("reason", values.REASON_PATTERN),
+        max_length("message", values.MESSAGE_MAX_LENGTH),
+        minimum("observedGeneration", 0),
+    ]
+
+
+def resource_rules() -> list[Rule]:
+    """Rules of the resource settings (columns ``cpu_max`` to ``storage_capacity``)."""
+    names = ("cpu_max", "cpu_min", "memory_limit", "storage_capacity")
+    return [quantity(c) for c in names]
+
+
+def log_level_rules(*fields: str) -> list[Rule]:
+    return [one_of(f, values.LOG_LEVELS) for f in fields]
+
+
 def validate(df: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
     """One row per broken rule. Only ``required`` looks at absent values."""
     found = F.array(

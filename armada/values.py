@@ -47,10 +47,18 @@ QUANTITY_PATTERN = (
 )
 REASON_PATTERN = r"^[A-Za-z]([A-Za-z0-9_,:]*[A-Za-z0-9_])?$"
 REASON_MAX_LENGTH = 1024
+TYPE_PATTERN = (
+    r"^([a-z0-9]([-a-z0-9]*[a-z0-9])?(\.[a-z0-9]([-a-z0-9]*[a-z0-9])?)*/)?"
+    r"(([A-Za-z0-9][-A-Za-z0-9_.]*)?[A-Za-z0-9])$"
+)
+TYPE_MAX_LENGTH = 316
 MESSAGE_MAX_LENGTH = 32768
 LOG_LEVELS = ("FATAL", "ERROR", "WARN", "INFO", "DEBUG", "TRACE")
 CONDITION_STATES = ("True", "False", "Unknown")
 
+# Supported algorithms, without the prefix the product puts before them.
+ALGORITHMS = ("PBKDF2_AES_GCM_256", "ARGON2_AES_GCM_256")
+
 # Authentication providers, first match wins.
 AUTH_TYPES = ("oidc", "ldap", "static")
 

@@ -1,6 +1,7 @@
 """Edge cases on hand-made frames: nulls, ties, empty groups and literal values."""
 
 import json
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
@@ -16,8 +17,10 @@ from armada.operators import (
     rules,
     scraping,
     sequences,
+    upkeep,
 )
 from armada.sources import records, specs
+from armada.sources.segments import write_searchable
 
 
 def rows(df, *order):
@@ -316,3 +319,47 @@ def test_specs(spark, tmp_path):
     assert (row["cluster"], row["version"], row["tls"], row["auth_classes"]) == ("c", "2.4.0", False, ["a"])
     assert rows(specs.explode_role_groups(flat), "role_group") == [("c", "ns", "default", 1), ("c", "ns", "other", None)]
     assert specs.explode_conditions(read).first()["type"] == "Ready"
+
+
+def test_schema_rules(spark):
+    df = spark.createDataFrame(
+        [(1, "Ready", "True", "AllGood", "", -1, "2024-01-01"), (2, "a/b/c", "Maybe", "", "x", 1, None),
+         (3, "kube.io/Ready", "Unknown", "9bad", "m" * 40000, None, "2024-01-01")],
+        "i int, type string, status string, reason string, message string, observedGeneration long, lastTransitionTime string")
+    got = rows(rules.validate(df, rules.condition_rules(), ["i"]).select("i", "field", "rule"), "i", "field", "rule")
+    assert got == [
+        (1, "observedGeneration", "minimum"), (2, "lastTransitionTime", "required"), (2, "reason", "min_length"),
+        (2, "reason", "pattern"), (2, "status", "enum"), (2, "type", "pattern"), (3, "message", "max_length"), (3, "reason", "pattern")]
+    df = spark.createDataFrame([(1, None, -1, None, "X_MD5", "5", "1 Gi", "INFO")],
+                               "i int, repo string, depth int, key_secret string, algorithm string, cpu_max string, memory_limit string, level string")
+    checks = [*rules.git_rules(), *rules.key_rules("X_"), *rules.log_level_rules("level"), rules.quantity("cpu_max"), rules.quantity("memory_limit")]
+    assert rows(rules.validate(df, checks, ["i"]).select("field", "rule"), "field") == [
+        ("algorithm", "enum"), ("depth", "minimum"), ("key_secret", "required"), ("memory_limit", "quantity"), ("repo", "required")]
+
+
+def test_searchable_layout(spark, tmp_path):
+    df = spark.range(500).select(
+        (F.col("id") % 5).cast("string").alias("EventType"), F.col("id").cast("string").alias("Filename"), "id")
+    path = str(tmp_path / "events")
+    write_searchable(df, path, ["EventType", "id"])
+    found = upkeep.event_search(spark.read.parquet(path), EventType="3", Filename="13")
+    assert rows(found) == [("3", "13", 13)]
+    assert "EqualTo(Filename,13)" in found._jdf.queryExecution().toString()
+
+
+def test_retention_and_truncation(spark):
+    df = spark.createDataFrame(
+        [(1, "node", 1), (2, "node", 20), (3, "component", 2), (4, "component", 4), (5, "other", 0), (6, None, 0)],
+        "i int, kind string, age int")
+    df = df.withColumn("ts", F.expr("timestamp'2024-03-01' - make_dt_interval(age)"))
+    kept = upkeep.retain(df, "ts", "kind", datetime(2024, 3, 1))
+    assert rows(kept.select("i"), "i") == [(1,), (3,)]
+    cut = upkeep.truncate_attributes(spark.createDataFrame([("abc",), ("ab",), (None,)], "t string"), "t", 2)
+    assert rows(cut.select("t", "t_cut")) == [("ab", True), ("ab", False), (None, False)]
+
+
+def test_response_classes(spark):
+    df = spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate([("token", 409), ("token", 404), ("cluster", 404), ("cluster", 409), ("cluster", 200), ("cluster", None), ("token", 201)])],
+                               "i int, call string, code int")
+    got = health.classify_response(df, "call", "code").select("i", "response")
+    assert [v for _, v in rows(got, "i")] == ["anonymous", "retry", "standalone", "standalone", "ok", "retry", "ok"]
