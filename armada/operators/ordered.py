@@ -80,11 +80,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return pin(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def slice_count(rows: int, rows_per_task: int) -> int:
+    return max(1, math.ceil(rows / rows_per_task))
+
+
 def slices(
     df: DataFrame, group: list[str], order: list[str], rows: int, rows_per_task: int
 ) -> DataFrame:
     """Range-partition by group and order and keep the slice number of each row."""
-    parts = max(1, math.ceil(rows / rows_per_task))
+    parts = slice_count(rows, rows_per_task)
     ranged = df.repartitionByRange(parts, *[F.asc(g) for g in group], *sort_columns(order))
     return pin(ranged.withColumn("_slice", F.spark_partition_id()))
 
@@ -104,12 +108,16 @@ def _carried(sliced: DataFrame, group: list[str], summary: Column, combine) -> D
     )
 
 
-def _with_carry(sliced: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
-    # At most one row per slice plus one per hot group, and both numbers are bounded by the
-    # split, so the broadcast does not grow with the rows.
+def _with_carry(
+    sliced: DataFrame, carried: DataFrame, group: list[str], slice_total: int
+) -> DataFrame:
+    # One row per slice plus one per border between groups inside a slice, and there are no more
+    # hot groups than slices.
+    if 2 * slice_total <= BROADCAST_KEYS:
+        carried = F.broadcast(carried)
     keys = [f"_key_{i}" for i in range(len(group))]
     match = (F.col("_slice") == F.col("_of")) & same_key(group, keys)
-    return sliced.join(F.broadcast(carried), match, "left").drop("_of", *keys)
+    return sliced.join(carried, match, "left").drop("_of", *keys)
 
 
 def running(
@@ -141,7 +149,8 @@ def running(
     order = [*order, "_row"]
     sliced = slices(numbered(split.hot), group, order, split.hot_rows, rows_per_task)
     carried = _carried(sliced, group, combine(value), combine)
-    local = _with_carry(windowed(sliced, ["_slice", *group]), carried, group)
+    total_slices = slice_count(split.hot_rows, rows_per_task)
+    local = _with_carry(windowed(sliced, ["_slice", *group]), carried, group, total_slices)
     if how == "sum":
         total = F.col(out) + F.coalesce(F.col("_carry"), F.lit(0))
     else:
@@ -192,7 +201,8 @@ def parts(
         return plain
     sliced = slices(split.hot, group, order, split.hot_rows, rows_per_task)
     carried = _carried(sliced, group, F.lit(1).cast("long"), F.sum)
-    counted = _with_carry(sliced, carried, group).select(
+    total_slices = slice_count(split.hot_rows, rows_per_task)
+    counted = _with_carry(sliced, carried, group, total_slices).select(
         *df.columns, F.coalesce(F.col("_carry"), F.lit(0)).cast("long").alias("part")
     )
     return plain.unionByName(counted)

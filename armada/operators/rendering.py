@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armada.functions import units
-from armada.operators.ordered import parts
+from armada.operators.ordered import parts, split_hot
 
 PLACEHOLDER = r'\{\{\s*getenv\s+"[^"]+"\s*\}\}'
 
@@ -39,7 +39,11 @@ def render_files(
     consecutive parts; joined in order of ``part`` they are the whole document.
     """
     entries = latest_entries(props, file_keys, key, value, pos)
-    numbered = parts(entries, file_keys, [key], lines_per_part)
+    # Rows of a file are at least its lines, and counting them needs the file columns only.
+    if split_hot(props, file_keys, lines_per_part).hot is None:
+        numbered = entries.withColumn("part", F.lit(0).cast("long"))
+    else:
+        numbered = parts(entries, file_keys, [key], lines_per_part)
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))),
         lambda e: F.concat(e["k"], F.lit("="), F.coalesce(e["v"], F.lit("")), F.lit("\n")),

@@ -8,7 +8,7 @@ from armada.operators import drift, lookups, rendering, rules, sequences
 from armada.session import new_path
 from armada.sources import records, specs
 from queries import fleet
-from queries.registry import query, table
+from queries.registry import query, spread, table
 
 
 def text(name):
@@ -143,7 +143,7 @@ TEMPLATE = (
         JOIN customer ON c_custkey = b.custkey""",
 )
 def expand_templates(spark, sf):
-    files = table(spark, sf, "orders").select(
+    files = spread(table(spark, sf, "orders").select("o_custkey", "o_orderkey")).select(
         F.col("o_custkey").alias("custkey"), "o_orderkey",
         F.concat(F.lit("k="), text("o_orderkey"), F.lit("\n" + TEMPLATE)).alias("body"),
     )
@@ -185,8 +185,8 @@ def normalise_units(spark, sf):
         .when(kind == "purchase", F.concat(k, F.lit("m")))
         .otherwise(F.concat(k, F.lit(" apples")))
     )
-    props = table(spark, sf, "events").select("event_id", value.alias("value"))
-    return rendering.normalise_units(props)
+    events = spread(table(spark, sf, "events").select("event_id", "event_type", "props"))
+    return rendering.normalise_units(events.select("event_id", value.alias("value")))
 
 
 def quantities(spark, sf):
@@ -353,7 +353,10 @@ def index_entries(spark, sf):
         F.struct(F.concat(F.lit("/"), F.col("l_returnflag")).alias("gitFolder")),
         F.struct(F.lit("/").alias("gitFolder")),
     )
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", entries.alias("git"))
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"
+    )
+    rows = spread(lines).select("l_orderkey", "l_linenumber", entries.alias("git"))
     return sequences.index_entries(rows, "git", "/app/git")
 
 

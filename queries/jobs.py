@@ -7,7 +7,7 @@ from armada.operators import components, rules
 from armada.plans import audit, health, upkeep
 from queries import fleet
 from queries.events import COMPONENT
-from queries.registry import query, table
+from queries.registry import query, spread, table
 
 
 def calls(spark, sf):
@@ -219,7 +219,10 @@ def inventory_drift(spark, sf):
 def configuration_audit(spark, sf):
     order = F.col("o_orderkey").cast("string")
     value = F.when(F.col("o_orderstatus") == "P", "${{file:x}").otherwise("30 sec")
-    lines = table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"
+    )
+    lines = spread(orders).select(
         F.col("o_custkey").alias("cluster"), F.col("o_orderpriority").alias("file"),
         F.concat(F.lit("k"), order).alias("key"), value.alias("value"),
     )

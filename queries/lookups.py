@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from armada.operators import lookups, scraping
 from queries import fleet
-from queries.registry import query, table
+from queries.registry import query, spread, table
 
 
 @query(
@@ -74,7 +74,7 @@ def resolve_auth(spark, sf):
     WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text))""",
 )
 def any_contained(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     found = scraping.any_contained(docs, "text", table(spark, sf, "benchmark"))
     return found.select("doc_id", "source")
 

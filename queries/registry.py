@@ -24,3 +24,13 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on single rows.
+
+    The driver's files have one row group and so arrive in one partition. Tables with at least one
+    partition per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
