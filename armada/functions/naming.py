@@ -22,11 +22,11 @@ def job_name(cluster: Column, version: Column) -> Column:
 def content_path(mount: Column | str, folder: Column) -> Column:
     """where a synced folder appears below its mount.
 
-    The folder is joined below the link to the current revision; repeated slashes collapse, which
-    also takes care of a leading one, and trailing ones go. ``..`` is not resolved.
+    The folder is joined below the link to the current revision. Repeated slashes, ``.`` segments
+    and a trailing slash go; that covers a leading slash too. ``..`` is not resolved.
     """
     joined = F.concat_ws("/", _text(mount), F.lit(values.LINK_NAME), folder)
-    return F.rtrim(F.regexp_replace(joined, "//+", "/"), F.lit("/"))
+    return F.regexp_replace(joined, r"(?:/\.?)+(?=/|$)", "")
 
 
 def service_host(cluster: Column, namespace: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armada import values
-from armada.functions.naming import job_name
+from armada.functions.naming import job_name, web_port
 from armada.operators.drift import expected_vs_observed
 from armada.operators.lookups import resolve_auth, secret_verdict
 from armada.operators.rendering import (
@@ -15,7 +15,16 @@ from armada.operators.rendering import (
     render_files,
     unbalanced_lines,
 )
-from armada.operators.rules import Rule, apply_defaults, auth_cardinality, reporting_gate, validate
+from armada.operators.rules import (
+    Rule,
+    apply_defaults,
+    auth_cardinality,
+    coordination_mode,
+    ldap_audit,
+    oidc_audit,
+    reporting_gate,
+    validate,
+)
 from armada.operators.sequences import index_entries, pick_first_eligible
 
 
@@ -57,13 +66,41 @@ def spec_audit(
     return broken.unionByName(missing).unionByName(wrong).unionByName(unknown)
 
 
+def login_audit(clusters: DataFrame, auth_classes: DataFrame) -> DataFrame:
+    """How does each cluster log its users in?
+
+    ``clusters`` has (cluster, auth_class, extra_scopes). ``auth_classes`` has name, and as structs
+    (null where not set) ``oidc`` (host, port, root_path, scopes), ``ldap`` (secret_class,
+    tls_verification, search_filter, uid_field) and ``static``. Directory columns are filled for
+    LDAP only, issuer and scopes for OIDC only.
+    """
+    resolved = resolve_auth(clusters, auth_classes)
+    details = auth_classes.groupBy(F.col("name").alias("auth_class")).agg(
+        F.max("ldap").alias("_ldap"), F.max("oidc").alias("_oidc")
+    )
+    joined = resolved.join(details, "auth_class", "left").select(
+        "cluster", "auth_class", "auth", "extra_scopes", "_ldap.*",
+        *[F.col(f"_oidc.{c}").alias(c) for c in ("host", "port", "root_path", "scopes")],
+    )
+    judged = oidc_audit(
+        ldap_audit(joined, "secret_class", "tls_verification", "search_filter", "uid_field"),
+        "host", "port", "root_path", "scopes", "extra_scopes",
+    )
+    by_ldap, by_oidc = F.col("auth") == "ldap", F.col("auth") == "oidc"
+    return judged.select(
+        "cluster", "auth_class", "auth",
+        *[F.when(by_ldap, F.col(c)).alias(c) for c in ("strategy", "protocol", "effective_filter")],
+        *[F.when(by_oidc, F.col(c)).alias(c) for c in ("issuer", "all_scopes")],
+    )
+
+
 def expected_inventory(
     specs: DataFrame, role_groups: DataFrame, mount_prefix: str
 ) -> DataFrame:
     """What should exist: (cluster, kind, name, field, value), a null field for mere existence.
 
-    ``specs`` has (cluster, namespace, version, reporting, key_secret, git); ``role_groups`` has
-    (cluster, role_group, replicas).
+    ``specs`` has (cluster, namespace, version, tls, zookeeper, reporting, key_secret, git);
+    ``role_groups`` has (cluster, role_group, replicas).
     """
     nothing = F.lit(None).cast("string")
 
@@ -82,16 +119,21 @@ def expected_inventory(
     secrets = objects(specs, "Secret", F.col("key_secret"))
     gated = reporting_gate(specs, "cluster", "namespace", "reporting", "version")
     jobs = objects(gated, "Job", job_name(F.col("cluster"), F.col("version")))
+    modes = objects(
+        coordination_mode(specs, "zookeeper"), "ConfigMap", F.concat("cluster", F.lit("-node")),
+        "state_provider", F.col("state_provider"),
+    )
     pods = pick_first_eligible(gated, role_groups).join(
         gated.select("cluster"), "cluster", "left_semi"
     )
-    services = objects(
-        pods, "Service", F.concat("cluster", F.lit("-reporting-task")), "pod", F.col("pod")
+    service = F.concat("cluster", F.lit("-reporting-task"))
+    services = objects(pods, "Service", service, "pod", F.col("pod")).unionByName(
+        objects(gated, "Service", service, "port", web_port(F.col("tls")))
     )
     entries = index_entries(specs.select("cluster", "git"), "git", mount_prefix)
     volumes = objects(entries, "Volume", F.col("volume"), "folder", F.col("content_folder"))
     everything = workloads
-    for part in (secrets, jobs, services, volumes):
+    for part in (secrets, jobs, modes, services, volumes):
         everything = everything.unionByName(part)
     return everything
 

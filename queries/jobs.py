@@ -181,6 +181,10 @@ def spec_audit(spark, sf):
     UNION ALL SELECT gated.cluster, 'Service', gated.cluster || '-reporting-task', 'mismatch', 'pod',
         CASE WHEN p IS NOT NULL THEN gated.cluster || '-node-' || p || '-0' END, 'none'
         FROM gated LEFT JOIN pod ON pod.cluster = gated.cluster
+    UNION ALL SELECT cluster, 'Service', cluster || '-reporting-task', 'mismatch', 'port',
+        CASE WHEN tls THEN '9443' ELSE '8088' END, NULL FROM gated
+    UNION ALL SELECT cluster, 'ConfigMap', cluster || '-node', 'mismatch', 'state_provider',
+        'kubernetes-provider', 'zk-provider' FROM clusters WHERE coalesce(zookeeper, '') = ''
     UNION ALL SELECT cluster, 'Volume', 'content-from-git-0', 'mismatch', 'folder',
         '/app/git-0/current/' || namespace, '/app/git-0/current/other' FROM clusters""",
 )
@@ -203,6 +207,9 @@ def inventory_drift(spark, sf):
         )
         .unionByName(seen(specs.filter("auto_generate"), "Secret", F.col("key_secret"), "type", "Opaque"))
         .unionByName(seen(specs, "Service", F.concat("cluster", F.lit("-reporting-task")), "pod", "none"))
+        .unionByName(
+            seen(specs, "ConfigMap", F.concat("cluster", F.lit("-node")), "state_provider", "zk-provider")
+        )
         .unionByName(seen(specs, "Volume", F.lit("content-from-git-0"), "folder", "/app/git-0/current/other"))
     )
     return audit.inventory_drift(wanted, observed)
@@ -266,3 +273,43 @@ def component_run(spark, sf):
     components.ship(spark, COMPONENT)
     files = table(spark, sf, "pages").select("page_id", F.translate("url", "/", "\n").alias("body"))
     return upkeep.component_run(files, "body", "measure_component:Measure")
+
+
+@query(
+    "job_login_audit",
+    f"""WITH {fleet.CLUSTERS}, r AS (SELECT c.*, n_name, n_regionkey, n_nationkey, CASE
+            WHEN n_nationkey IS NULL THEN 'auth_class_missing' WHEN n_regionkey IN (0, 4) THEN 'oidc'
+            WHEN n_regionkey = 1 THEN 'ldap' WHEN n_regionkey = 2 THEN 'static' ELSE 'unsupported' END
+            AS auth
+        FROM clusters c LEFT JOIN nation ON 'auth-' || n_nationkey = auth_class)
+    SELECT cluster, auth_class, auth,
+        CASE WHEN auth = 'ldap' THEN CASE WHEN n_nationkey > 9 THEN 'LDAPS' ELSE 'ANONYMOUS' END END
+            AS strategy,
+        CASE WHEN auth = 'ldap' THEN 'ldaps' END AS protocol,
+        CASE WHEN auth = 'ldap' THEN 'uid={{0}}' END AS effective_filter,
+        CASE WHEN auth = 'oidc' THEN 'http://' || n_name || ':8080/realms/' || n_nationkey END AS issuer,
+        CASE WHEN auth = 'oidc' THEN 'openid,' || namespace END AS all_scopes
+    FROM r""",
+)
+def login_audit(spark, sf):
+    nation = F.col("n_nationkey")
+    region = F.col("n_regionkey")
+    oidc = F.struct(
+        F.col("n_name").alias("host"), F.lit(8080).alias("port"),
+        F.concat(F.lit("/realms/"), nation.cast("string")).alias("root_path"),
+        F.array(F.lit("openid")).alias("scopes"),
+    )
+    ldap = F.struct(
+        F.when(nation > 9, F.col("n_name")).alias("secret_class"), F.lit(True).alias("tls_verification"),
+        F.lit("").alias("search_filter"), F.lit("uid").alias("uid_field"),
+    )
+    classes = table(spark, sf, "nation").select(
+        F.concat(F.lit("auth-"), nation.cast("string")).alias("name"),
+        F.when(region.isin(0, 4), oidc).alias("oidc"),
+        F.when(region.isin(1, 4), ldap).alias("ldap"),
+        F.when(region == 2, F.struct(F.col("n_name").alias("secret"))).alias("static"),
+    )
+    rows = fleet.clusters(spark, sf).select(
+        "cluster", "auth_class", F.array("namespace").alias("extra_scopes")
+    )
+    return audit.login_audit(rows, classes)

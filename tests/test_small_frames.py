@@ -71,7 +71,7 @@ def test_quantities(spark):
 @pytest.mark.parametrize(
     "folder,want",
     [("/", "/app/git-0/current"), ("/processors", "/app/git-0/current/processors"),
-     ("a//b/", "/app/git-0/current/a/b"), (None, "/app/git-0/current"), ("", "/app/git-0/current")],
+     ("a//b/", "/app/git-0/current/a/b"), (None, "/app/git-0/current"), ("", "/app/git-0/current"), ("/./a/./.b/.", "/app/git-0/current/a/.b"), ("//", "/app/git-0/current")],
 )
 def test_content_path(spark, folder, want):
     assert column(spark, lambda c: naming.content_path("/app/git-0", c), [folder]) == [want]
