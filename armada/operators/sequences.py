@@ -107,23 +107,23 @@ def failure_runs(
 ) -> DataFrame:
     """Runs of consecutive failures of at least ``threshold``; one success ends a run.
 
-    Failures of one run share the last success before them, so a running maximum names the run
-    and a combined aggregate measures it.
+    Failures of one run have the same number of successes before them, so a running count names
+    the run and a combined aggregate measures it.
     """
     good = F.coalesce(F.col(ok), F.lit(False))
     rows = probes.select(target, ts, tie, good.alias("_ok"))
-    last_success = F.when(F.col("_ok"), F.struct(F.col(ts), F.col(tie)))
-    marked = running(rows, [target], [ts, tie], last_success, "_after", "max", rows_per_task)
+    successes = F.col("_ok").cast("long")
+    marked = running(rows, [target], [ts, tie], successes, "_run", "sum", rows_per_task)
     return (
         marked.filter(~F.col("_ok"))
-        .groupBy(target, "_after")
+        .groupBy(target, "_run")
         .agg(
             F.count(F.lit(1)).alias("failures"),
             F.min(ts).alias("run_start"),
             F.max(ts).alias("run_end"),
         )
         .filter(F.col("failures") >= threshold)
-        .drop("_after")
+        .drop("_run")
     )
 
 

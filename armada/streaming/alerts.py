@@ -31,15 +31,15 @@ def threshold_crossings(
         F.col(target).alias("target"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
         F.coalesce(F.col(ok), F.lit(False)).alias("ok"),
     )
-    success = F.when(F.col("ok"), F.struct("ts", "tie"))
-    marked = running(rows, ["target"], ["ts", "tie"], success, "_after", "max", rows_per_task)
+    successes = F.col("ok").cast("long")
+    marked = running(rows, ["target"], ["ts", "tie"], successes, "_after", "sum", rows_per_task)
     failed = marked.filter(~F.col("ok"))
     placed = running(
         failed, ["target", "_after"], ["ts", "tie"], F.lit(1), "_place", "sum", rows_per_task
     )
     carried = open_runs.select("target", F.col("run").alias("_run"))
-    # Only a run without a success before it continues one from before.
-    added = F.when(F.col("_after").isNull(), F.coalesce("_run", F.lit(0))).otherwise(F.lit(0))
+    # Only a run after no success continues one from before.
+    added = F.when(F.col("_after") == 0, F.coalesce("_run", F.lit(0))).otherwise(F.lit(0))
     alerts = (
         placed.filter(F.col("_place") <= threshold)
         .join(carried, "target", "left")
@@ -50,7 +50,7 @@ def threshold_crossings(
         F.count(F.when(~F.col("ok"), 1)).alias("_failures")
     )
     last = runs.groupBy("target").agg(
-        F.max_by(F.struct("_failures", F.col("_after").isNull().alias("_same")), F.struct("_after")).alias("_l")
+        F.max_by(F.struct("_failures", (F.col("_after") == 0).alias("_same")), "_after").alias("_l")
     )
     still_open = (
         last.join(carried, "target", "full")

@@ -1,7 +1,7 @@
 """Rows of a stream handed on once their time window is closed.
 
-Rows wait in a table by window and batch, so nothing is held in executor memory however many rows
-a window or a key has, and a batch operator that is safe for large groups can take over.
+Rows wait in files by batch, so nothing is held in executor memory however many rows a window or
+a key has, and a batch operator that is safe for large groups can take over.
 """
 
 from __future__ import annotations
@@ -18,52 +18,75 @@ class ClosedWindows:
     window that was closed by an earlier batch are late and dropped. All writes replace what the
     same batch wrote before, so running a batch again gives the same rows.
 
-    ``<path>/waiting`` holds the rows by window and batch; folders of closed windows are not
-    needed any more. ``<path>/latest/<batch>`` holds the latest event time up to a batch.
+    ``<path>/waiting/<batch>`` holds the rows of a batch, sorted by time so that a read for closed
+    windows skips the rest. ``<path>/marks/<batch>`` holds the latest event time and the batches
+    that still have open windows; the folders of all others are not needed any more.
     """
 
     def __init__(self, path: str, ts: str, every: str, delay: str):
         self.path, self.ts, self.every, self.delay = path, ts, every, delay
 
-    def _latest(self, like: DataFrame, batch: int) -> DataFrame:
+    def _marks(self, like: DataFrame, batch: int) -> DataFrame:
         kind = like.schema[self.ts].dataType
-        schema = T.StructType([T.StructField("latest", kind)])
+        schema = T.StructType(
+            [
+                T.StructField("latest", kind),
+                T.StructField("batch", T.LongType()),
+                T.StructField("last_end", kind),
+            ]
+        )
         spark = like.sparkSession
         if batch < 0:
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.path}/latest/{batch}")
+        return spark.read.schema(schema).parquet(f"{self.path}/marks/{batch}")
 
     def take(self, rows: DataFrame, batch: int) -> DataFrame:
         """Store a batch and return the rows, of any batch, whose window it closes."""
-        spark, names = rows.sparkSession, rows.columns
-        earlier = self._latest(rows, batch - 1)
-        times = rows.select(F.col(self.ts).alias("latest")).unionByName(earlier)
-        times.agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(
-            f"{self.path}/latest/{batch}"
-        )
+        spark = rows.sparkSession
+        end = F.window(self.ts, self.every)["end"]
         wait = F.expr(f"INTERVAL {self.delay}")
-        previous = earlier.agg((F.max("latest") - wait).alias("w")).first()["w"]
-        limit = self._latest(rows, batch).agg((F.max("latest") - wait).alias("w")).first()["w"]
 
-        placed = rows.withColumn("_w", F.window(self.ts, self.every))
-        if previous is not None:
-            placed = placed.filter(F.col("_w.end") > F.lit(previous))
-        placed = placed.withColumns({"window_start": F.col("_w.start"), "batch": F.lit(batch)})
-        replace_partitions(placed.drop("_w"), f"{self.path}/waiting", "window_start", "batch")
+        earlier = self._marks(rows, batch - 1)
+        previous = earlier.agg((F.max("latest") - wait).alias("w")).first()["w"]
+        late = F.lit(False) if previous is None else end <= F.lit(previous)
+        waiting = f"{self.path}/waiting"
+        rows.filter(~late).sortWithinPartitions(self.ts).write.mode("overwrite").option(
+            "compression", "zstd"
+        ).parquet(f"{waiting}/{batch}")
 
-        schema = T.StructType(
-            [
-                *rows.schema.fields,
-                T.StructField("window_start", rows.schema[self.ts].dataType),
-                T.StructField("batch", T.LongType()),
+        stored = spark.read.schema(rows.schema).parquet(f"{waiting}/{batch}")
+        own = stored.agg(
+            F.max(self.ts).alias("latest"),
+            F.lit(batch).cast("long").alias("batch"),
+            F.max(end).alias("last_end"),
+        )
+        # One row per batch that still has open windows: a handful, read once to the driver.
+        known = earlier.unionByName(own).collect()
+        times = [r["latest"] for r in known if r["latest"] is not None]
+        latest = max(times) if times else None
+        if latest is None:
+            limit, marked = None, [(None, batch, None)]
+        else:
+            one = spark.createDataFrame([(latest,)], T.StructType(earlier.schema.fields[:1]))
+            limit = one.select((F.col("latest") - wait).alias("w")).first()["w"]
+            marked = [
+                (latest, r["batch"], r["last_end"])
+                for r in known
+                if r["batch"] == batch or (r["last_end"] is not None and r["last_end"] > limit)
             ]
+        spark.createDataFrame(marked, earlier.schema).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.path}/marks/{batch}"
         )
-        ended = F.col("window_start") + F.expr(f"INTERVAL {self.every}")
-        ready = spark.read.schema(schema).parquet(f"{self.path}/waiting")
-        ready = ready.filter(F.lit(limit is not None) & (ended <= F.lit(limit)))
+        if limit is None:
+            return stored.filter(F.lit(False))
+
+        paths = [f"{waiting}/{r['batch']}" for r in known]
+        closed = end <= F.lit(limit)
         if previous is not None:
-            ready = ready.filter(ended > F.lit(previous))
-        return ready.filter(F.col("batch") <= batch).select(*names)
+            closed = closed & (end > F.lit(previous))
+        # The bare time column lets the scan skip row groups.
+        closed = closed & (F.col(self.ts) < F.lit(limit))
+        return spark.read.schema(rows.schema).parquet(*paths).filter(closed)
 
 
 def replace_partitions(rows: DataFrame, target: str, *by: str) -> None:
