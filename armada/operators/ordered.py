@@ -47,7 +47,11 @@ class Split:
     cold: DataFrame
     hot: DataFrame | None
     hot_rows: int
-    hot_keys: DataFrame | None
+    hot_count: int
+
+    def per_hot_key(self, small: DataFrame) -> DataFrame:
+        """Broadcast a table with one row per hot key, if the keys are as few as they should be."""
+        return F.broadcast(small) if self.hot_count <= BROADCAST_KEYS else small
 
 
 def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> Split:
@@ -61,7 +65,7 @@ def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
     )
     found = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows")).first()
     if not found["keys"]:
-        return Split(df, None, 0, None)
+        return Split(df, None, 0, 0)
     names = [f"_hot_{i}" for i in range(len(keys))]
     listed = pin(counts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
     if found["keys"] <= BROADCAST_KEYS:
@@ -71,7 +75,7 @@ def split_hot(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK
         df.join(listed, match, "left_anti"),
         df.join(listed, match, "left_semi"),
         found["rows"],
-        listed,
+        found["keys"],
     )
 
 

@@ -80,9 +80,10 @@ def time_to_success(
         split.cold.select("*", *[v.over(whole).alias(k) for k, v in summary.items()])
     )
     if split.hot is not None:
-        # One summary row per hot key, and hot keys are few by definition.
-        marks = split.hot.groupBy(target).agg(*[v.alias(k) for k, v in summary.items()])
-        marks = F.broadcast(marks.withColumnRenamed(target, "_target"))
+        marks = split.hot.groupBy(F.col(target).alias("_target")).agg(
+            *[v.alias(k) for k, v in summary.items()]
+        )
+        marks = split.per_hot_key(marks)
         joined = split.hot.join(marks, F.col(target).eqNullSafe(F.col("_target")))
         done = done.unionByName(counted(joined.drop("_target")))
     elapsed = F.timestamp_diff("MILLISECOND", F.col("started"), F.col("succeeded"))

@@ -9,19 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings that let Spark split hot join keys and merge small partitions by itself.
 # Forcing the skew split matters when an aggregate on the join key follows the join: without it
-# Spark keeps the hot partition whole to save one exchange.
-ADAPTIVE = {
+# Spark keeps the hot partition whole to save one exchange. Rows sent to Python may be long
+# documents, so their batches are kept short.
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the settings above to a session and return it."""
-    for key, value in ADAPTIVE.items():
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 

@@ -84,7 +84,7 @@ def spec_documents(spark, sf):
     WHERE s[i] <> ''""",
 )
 def explode_lines(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return rendering.explode_lines(docs, "text")
 
 
@@ -237,7 +237,8 @@ def parse_quantity(spark, sf):
 )
 def lint_placeholders(spark, sf):
     body = F.concat(F.lit("${{file:"), F.col("url"), F.lit("}\n"), F.col("html"))
-    files = table(spark, sf, "pages").select("page_id", body.alias("body"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "url", "html"))
+    files = pages.select("page_id", body.alias("body"))
     return rendering.lint_placeholders(files, "body")
 
 

@@ -44,10 +44,10 @@ def truncate_attributes(spark, sf):
 
 @query(
     "p15_event_search",
-    "SELECT * FROM events WHERE event_type = 'error' AND user_id = 7",
+    """SELECT * FROM events WHERE event_type = 'error' AND props = '{"k": 7}'""",
 )
 def event_search(spark, sf):
-    return upkeep.event_search(table(spark, sf, "events"), event_type="error", user_id=7)
+    return upkeep.event_search(table(spark, sf, "events"), event_type="error", props='{"k": 7}')
 
 
 @query(
