@@ -123,9 +123,7 @@ def expected_inventory(
         coordination_mode(specs, "zookeeper"), "ConfigMap", F.concat("cluster", F.lit("-node")),
         "state_provider", F.col("state_provider"),
     )
-    pods = pick_first_eligible(gated, role_groups).join(
-        gated.select("cluster"), "cluster", "left_semi"
-    )
+    pods = pick_first_eligible(gated, role_groups)
     service = F.concat("cluster", F.lit("-reporting-task"))
     services = objects(pods, "Service", service, "pod", F.col("pod")).unionByName(
         objects(gated, "Service", service, "port", web_port(F.col("tls")))

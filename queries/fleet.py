@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from queries.registry import table
+from queries.registry import spread, table
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +62,10 @@ CLUSTERS = """clusters AS (
 
 def role_groups(spark: SparkSession, sf: str) -> DataFrame:
     status = F.col("o_orderstatus")
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"
+    )
+    return spread(orders).select(
         F.col("o_custkey").alias("custkey"),
         F.concat(
             F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("-"), F.col("o_orderkey").cast("string")
