@@ -118,8 +118,9 @@ def body_health(
     Used on streams, where the latest body per cluster is already one row.
     """
     nodes = F.from_json(body, STATUS_BODY)["cluster"]["nodes"]
+    none = F.array().cast("array<struct<address: string, nodeId: string, status: string>>")
     known = F.filter(
-        F.coalesce(nodes, F.array().cast("array<struct<address:string,nodeId:string,status:string>>")),
+        F.coalesce(nodes, none),
         lambda n: F.coalesce(n["address"], n["nodeId"]).isNotNull(),
     )
     bad = F.filter(known, lambda n: ~n["status"].eqNullSafe(F.lit(ok)))

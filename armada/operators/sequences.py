@@ -230,7 +230,10 @@ def first_n(
     group: list[str] | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """L2: the first ``n`` rows in order, of the whole table or of every group."""
+    """L2: the first ``n`` rows in order, of the whole table or of every group.
+
+    Without a group this is a report: ``n`` is as many rows as one task should hold.
+    """
     if group:
         return top_per_group(df, group, order, n, rows_per_task)
     return df.orderBy(*sort_columns(order)).limit(n)
