@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import mixing, urls
+from armada.llm import counting, mixing, urls
 from armada.llm.common import read
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -16,6 +21,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_mix_sources, op10_url_filters)}
 
 ORACLES = {"op6_mix_sources": mixing.SQL, "op10_url_filters": urls.SQL}
