@@ -61,7 +61,7 @@ def fingerprints(found: Column, short: list[int]) -> Column:
     def of(hashes):
         kept = [let(grams(hashes, GRAM), lambda g: least(g, WINDOW))]
         for n in short:
-            kept.append(F.transform(grams(hashes, n), lambda h, n=n: F.xxhash64(F.lit(n), h)))
+            kept.append(grams(hashes, n))
         return F.array_distinct(F.concat(*kept)) if short else kept[0]
 
     return let(F.transform(found, lambda w: F.xxhash64(w)), of)

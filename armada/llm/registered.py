@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, mixing, urls
+from armada.llm import counting, decontaminate, mixing, urls
 from armada.llm.common import read
 
 
@@ -17,10 +17,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_mix_sources, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_mix_sources, op7_decontaminate, op10_url_filters)}
 
 ORACLES = {"op6_mix_sources": mixing.SQL, "op10_url_filters": urls.SQL}
