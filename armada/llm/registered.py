@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, decontaminate, mixing, urls
+from armada.llm import counting, decontaminate, mixing, quality, toxicity, urls
 from armada.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return quality.quality(documents, quality.quality_model(documents, read(spark, sf_dir, "labels")))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -21,10 +26,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.labelled_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_mix_sources, op7_decontaminate, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op4_quality_rules, op6_mix_sources, op7_decontaminate, op9_toxicity, op10_url_filters,
+    )
+}
 
 ORACLES = {"op6_mix_sources": mixing.SQL, "op10_url_filters": urls.SQL}
