@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, decontaminate, mixing, quality, storing, toxicity, urls
+from armada.llm import counting, decontaminate, jaccard, mixing, quality, storing, toxicity, urls
 from armada.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storing.stored_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,7 +45,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_token_files, op4_quality_rules, op6_mix_sources, op7_decontaminate, op9_toxicity, op10_url_filters,
+        op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op6_mix_sources,
+        op7_decontaminate, op9_toxicity, op10_url_filters,
     )
 }
 
