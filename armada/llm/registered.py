@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, decontaminate, jaccard, mixing, quality, storing, toxicity, urls
+from armada.llm import counting, decontaminate, extraction, jaccard, mixing, quality, storing, toxicity, urls
 from armada.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(read(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.labelled_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op6_mix_sources,
-        op7_decontaminate, op9_toxicity, op10_url_filters,
+        op7_decontaminate, op8_html_extraction, op9_toxicity, op10_url_filters,
     )
 }
 
