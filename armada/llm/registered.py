@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, decontaminate, extraction, jaccard, mixing, quality, storing, toxicity, urls
+from armada.llm import counting, decontaminate, extraction, jaccard, mixing, quality, repeats, storing, toxicity, urls
 from armada.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents, quality.quality_model(documents, read(spark, sf_dir, "labels")))
 
 
+def op5_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -49,8 +53,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op6_mix_sources,
-        op7_decontaminate, op8_html_extraction, op9_toxicity, op10_url_filters,
+        op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op5_repeated_bytes,
+        op6_mix_sources, op7_decontaminate, op8_html_extraction, op9_toxicity, op10_url_filters,
     )
 }
 
