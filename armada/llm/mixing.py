@@ -127,17 +127,16 @@ def mix(
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The rows of a mix (with ``text`` carried), each as often as it is taken.
 
-    A last part of a repetition keeps the first words of the text, as many as are taken.
+    The one document of a source that meets the target in part keeps its first words, as many as are
+    taken, with single spaces.
     """
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
     copies = F.array_repeat(F.col(text), whole)
-    start = F.concat(
-        F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (part - 1).cast("string"),
-        F.lit(r"}[^\x20\x09-\x0D]+"),
-    )
-    taken = F.when(part > 0, F.concat(copies, F.array(F.regexp_substr(F.col(text), start)))).otherwise(copies)
-    return mixed.withColumn("_texts", taken).withColumn(text, F.explode("_texts")).drop("_texts")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), part), " ")
+    return mixed.withColumn("_texts", F.when(part > 0, F.concat(copies, F.array(first))).otherwise(copies)).withColumn(
+        text, F.explode("_texts")
+    ).drop("_texts")
 
 
 SQL = r"""
