@@ -84,10 +84,19 @@ def layer_config(
     """Role-level configuration under each role group.
 
     A value set on the group wins over the role's; maps merge per key with the group's entries
-    winning; arrays (given in ``scalars``) replace as a whole. ``roles`` has one row per key.
+    winning; arrays (given in ``scalars``) replace as a whole. Of several role rows of one key the
+    greatest as a whole counts, scalars first and maps by their sorted entries.
     """
     maps = maps or []
-    parent = roles.select(F.col(on).alias("_on"), *[F.col(c).alias(f"_role_{c}") for c in scalars + maps])
+    whole = [
+        *[F.col(c) for c in scalars], *[F.array_sort(F.map_entries(c)).alias(c) for c in maps]
+    ]
+    one = roles.groupBy(F.col(on).alias("_on")).agg(F.max(F.struct(*whole)).alias("_role"))
+    parent = one.select(
+        "_on",
+        *[F.col("_role")[c].alias(f"_role_{c}") for c in scalars],
+        *[F.map_from_entries(F.col("_role")[c]).alias(f"_role_{c}") for c in maps],
+    )
     joined = groups.join(parent, F.col(on) == F.col("_on"), "left")
     merged = {c: F.coalesce(F.col(c), F.col(f"_role_{c}")) for c in scalars}
     for c in maps:
@@ -100,6 +109,15 @@ def layer_config(
     return joined.withColumns(merged).drop("_on", *[f"_role_{c}" for c in scalars + maps])
 
 
+def provider_rank(providers: dict[str, Column] | None = None) -> Column:
+    """Place of the first provider that is set, from 1; one more than all for none."""
+    conditions = providers or {p: F.col(p).isNotNull() for p in values.AUTH_TYPES}
+    rank = F.lit(len(values.AUTH_TYPES) + 1)
+    for place, provider in reversed(list(enumerate(values.AUTH_TYPES, 1))):
+        rank = F.when(conditions[provider], F.lit(place)).otherwise(rank)
+    return rank
+
+
 def resolve_auth(
     clusters: DataFrame,
     auth_classes: DataFrame,
@@ -110,16 +128,15 @@ def resolve_auth(
     """Provider of the named class, first match of OIDC, LDAP, static.
 
     ``providers`` maps each provider to a condition on ``auth_classes`` telling that it is set;
-    by default columns of the provider's name must be non-null.
+    by default columns of the provider's name must be non-null. Of several classes of one name the
+    one whose provider comes first counts.
     """
-    conditions = providers or {p: F.col(p).isNotNull() for p in values.AUTH_TYPES}
-    choice = F.lit(None).cast("string")
-    for provider in reversed(values.AUTH_TYPES):
-        choice = F.when(conditions[provider], F.lit(provider)).otherwise(choice)
     named = auth_classes.select(
-        F.col(class_name).alias("_class"), F.coalesce(choice, F.lit("unsupported")).alias("_auth")
+        F.col(class_name).alias("_class"), provider_rank(providers).alias("_rank")
     )
-    ranked = named.groupBy("_class").agg(F.min("_auth").alias("_auth"))
+    ranked = named.groupBy("_class").agg(F.min("_rank").alias("_rank"))
+    provider = F.element_at(F.array(*map(F.lit, [*values.AUTH_TYPES, "unsupported"])), F.col("_rank"))
+    ranked = ranked.select("_class", provider.alias("_auth"))
     joined = clusters.join(ranked, F.col(auth_class) == F.col("_class"), "left")
     return joined.withColumn("auth", F.coalesce("_auth", F.lit("auth_class_missing"))).drop(
         "_class", "_auth"

@@ -133,8 +133,14 @@ def running(
     how: str = "sum",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add the running ``sum`` or ``max`` of ``value`` up to and including each row."""
+    """Add the running ``sum`` or ``max`` of ``value`` up to and including each row.
+
+    A null value adds nothing to a sum; without that, a slice that begins with nulls would lose what
+    earlier slices contribute.
+    """
     combine = {"sum": F.sum, "max": F.max}[how]
+    if how == "sum":
+        value = F.coalesce(value, F.lit(0))
     columns = df.columns
 
     def windowed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,26 +193,3 @@ def top_per_group(
     left = ranked(salted, [*group, "_salt"]).drop("_salt", "_row")
     counted = running(left, group, order, F.lit(1), "_place", "sum", rows_per_task)
     return plain.unionByName(counted.filter(F.col("_place") <= n).drop("_place"))
-
-
-def parts(
-    df: DataFrame,
-    group: list[str],
-    order: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Add ``part``: 0 for groups of ordinary size, else consecutive slice numbers from 0.
-
-    The rows of a group are expected to differ in the order columns.
-    """
-    split = split_hot(df, group, rows_per_task)
-    plain = split.cold.withColumn("part", F.lit(0).cast("long"))
-    if split.hot is None:
-        return plain
-    sliced = slices(split.hot, group, order, split.hot_rows, rows_per_task)
-    carried = _carried(sliced, group, F.lit(1).cast("long"), F.sum)
-    total_slices = slice_count(split.hot_rows, rows_per_task)
-    counted = _with_carry(sliced, carried, group, total_slices).select(
-        *df.columns, F.coalesce(F.col("_carry"), F.lit(0)).cast("long").alias("part")
-    )
-    return plain.unionByName(counted)

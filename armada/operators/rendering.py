@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armada.functions import units
-from armada.operators.ordered import parts, split_hot
+from armada.operators.ordered import ROWS_PER_TASK, running
 
 PLACEHOLDER = r'\{\{\s*getenv\s+"[^"]+"\s*\}\}'
 
@@ -32,18 +32,17 @@ def render_files(
     value: str = "value",
     pos: str | None = None,
     lines_per_part: int = LINES_PER_PART,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Property rows to ``key=value`` documents, keys in bytewise order, newline after each.
 
-    A file is one row (``part`` 0) up to ``lines_per_part`` lines. A larger one comes as
-    consecutive parts; joined in order of ``part`` they are the whole document.
+    Line n of a file, counted from 0, is in part n div ``lines_per_part``, whatever the size of the
+    file or the cluster; joined in order of ``part`` the rows are the whole document.
     """
     entries = latest_entries(props, file_keys, key, value, pos)
-    # Rows of a file are at least its lines, and counting them needs the file columns only.
-    if split_hot(props, file_keys, lines_per_part).hot is None:
-        numbered = entries.withColumn("part", F.lit(0).cast("long"))
-    else:
-        numbered = parts(entries, file_keys, [key], lines_per_part)
+    counted = running(entries, file_keys, [key], F.lit(1), "_line", "sum", rows_per_task)
+    part = F.floor((F.col("_line") - 1) / lines_per_part).cast("long")
+    numbered = counted.withColumn("part", part).drop("_line")
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))),
         lambda e: F.concat(e["k"], F.lit("="), F.coalesce(e["v"], F.lit("")), F.lit("\n")),
@@ -59,19 +58,24 @@ def expand_templates(
     body: str = "body",
     env_name: str = "name",
     env_value: str = "value",
+    env_order: list[str] | None = None,
 ) -> DataFrame:
     """Replace each ``{{ getenv "X" }}`` by the cluster's value of X.
 
     Only the names a file uses are looked up and brought back to it, so neither a cluster's
     bindings nor its files are ever gathered. Values are inserted literally and are not expanded
     again. Unbound names stay in the text and are listed in ``unresolved``. ``file_id`` are the
-    columns that identify a file within its cluster.
+    columns that identify a file within its cluster. Of several bindings of one name the last by
+    ``env_order`` counts (for ``gather_env``: its rank and position), as in a process environment;
+    without an order, the greatest value.
     """
     keys = [cluster, *file_id]
     used = files.select(*keys, F.explode(F.array_distinct(_names(_marks(body)))).alias("_name"))
     bound = env.groupBy(
         F.col(cluster).alias("_cluster"), F.col(env_name).alias("_env")
-    ).agg(F.max(env_value).alias("_value"))
+    ).agg(
+        (F.max_by(env_value, F.struct(*env_order)) if env_order else F.max(env_value)).alias("_value")
+    )
     match = (F.col(cluster) == F.col("_cluster")) & (F.col("_name") == F.col("_env"))
     found = used.join(bound, match).filter(F.col("_value").isNotNull())
     lookup = found.groupBy(*keys).agg(

@@ -140,6 +140,7 @@ def budget_keep(
     """Newest first, keep items while their running size fits into ratio x capacity.
 
     ``order`` puts the newest first, for example ``["-ts", "-id"]``. ``capacity`` may be a column.
+    An item without a size takes no room.
     """
     budget = F.floor(F.lit(capacity) * F.lit(ratio))
     summed = running(items, [component], order, F.col(size), "running_size", "sum", rows_per_task)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from armada import values
 from armada.functions.naming import job_name, web_port
 from armada.operators.drift import expected_vs_observed
-from armada.operators.lookups import resolve_auth, secret_verdict
+from armada.operators.lookups import provider_rank, resolve_auth, secret_verdict
 from armada.operators.rendering import (
     expand_templates,
     normalise_units,
@@ -74,13 +74,15 @@ def login_audit(clusters: DataFrame, auth_classes: DataFrame) -> DataFrame:
     tls_verification, search_filter, uid_field) and ``static``. Directory columns are filled for
     LDAP only, issuer and scopes for OIDC only.
     """
-    resolved = resolve_auth(clusters, auth_classes)
-    details = auth_classes.groupBy(F.col("name").alias("auth_class")).agg(
-        F.max("ldap").alias("_ldap"), F.max("oidc").alias("_oidc")
+    one = auth_classes.groupBy(F.col("name").alias("auth_class")).agg(
+        F.min(F.struct(provider_rank().alias("rank"), "ldap", "oidc")).alias("_class")
     )
-    joined = resolved.join(details, "auth_class", "left").select(
-        "cluster", "auth_class", "auth", "extra_scopes", "_ldap.*",
-        *[F.col(f"_oidc.{c}").alias(c) for c in ("host", "port", "root_path", "scopes")],
+    provider = F.element_at(F.array(*map(F.lit, [*values.AUTH_TYPES, "unsupported"])), F.col("_class.rank"))
+    one = one.withColumn("_auth", provider)
+    joined = clusters.join(one, "auth_class", "left").select(
+        "cluster", "auth_class", F.coalesce("_auth", F.lit("auth_class_missing")).alias("auth"),
+        "extra_scopes", "_class.ldap.*",
+        *[F.col(f"_class.oidc.{c}").alias(c) for c in ("host", "port", "root_path", "scopes")],
     )
     judged = oidc_audit(
         ldap_audit(joined, "secret_class", "tls_verification", "search_filter", "uid_field"),
@@ -142,21 +144,30 @@ def inventory_drift(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def configuration_audit(
-    props: DataFrame, env: DataFrame, pos: str | None = None
+    props: DataFrame, env: DataFrame, pos: str | None = None, env_order: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What does each file contain, and what is unresolved or malformed?
 
     ``props`` has (cluster, file, key, value), ``env`` has (cluster, name, value). Gives the
-    expanded files, the findings (cluster, file, finding, detail) and the values with units.
+    expanded files, the findings (cluster, file, finding, detail) and the values with units. A name
+    that stays unresolved is one finding of its file, each uneven line one of its own.
     """
     files = render_files(props, ["cluster", "file"], pos=pos)
-    expanded = expand_templates(files, env, "cluster", ["file", "part"])
+    expanded = expand_templates(files, env, "cluster", ["file", "part"], env_order=env_order)
     unbound = F.transform(
-        "unresolved", lambda n: F.struct(F.lit("unresolved").alias("finding"), n.alias("detail"))
+        "unresolved",
+        lambda n: F.struct(
+            F.lit("unresolved").alias("finding"), n.alias("detail"),
+            F.lit(-1).cast("long").alias("in_part"), F.lit(-1).alias("at"),
+        ),
     )
     uneven = F.transform(
         unbalanced_lines("body"),
-        lambda l: F.struct(F.lit("unbalanced").alias("finding"), l["line"].alias("detail")),
+        lambda l: F.struct(
+            F.lit("unbalanced").alias("finding"), l["line"].alias("detail"),
+            F.col("part").alias("in_part"), l["pos"].alias("at"),
+        ),
     )
-    findings = expanded.select("cluster", "file", F.inline(F.concat(unbound, uneven)))
+    found = expanded.select("cluster", "file", F.inline(F.concat(unbound, uneven)))
+    findings = found.distinct().drop("in_part", "at")
     return expanded, findings, normalise_units(props)

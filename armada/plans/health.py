@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armada import values
@@ -18,16 +18,21 @@ from armada.operators.scraping import metric_present
 from armada.operators.sequences import failure_runs, time_to_success
 
 
-def fleet_health(responses: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fleet_health(
+    responses: DataFrame, expected: DataFrame, fresh_after: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Which clusters are unhealthy, and which nodes cause it?
 
     ``responses`` has (cluster, ts, id, code, body) of cluster calls, ``expected`` has (cluster,
-    expected_nodes). The latest decided response of each cluster counts; a standalone process that
-    answers is healthy. Gives the verdicts and the nodes to blame.
+    expected_nodes). The latest call of each cluster decides, whatever its code: one that was not
+    answered makes the cluster ``no_response``. A standalone process is healthy when it answers and
+    no more than one node is expected. ``fresh_after``: calls before this time do not count. Gives the
+    verdicts and the nodes to blame.
     """
     tagged = responses.withColumn("call", F.lit("cluster"))
-    decided = classify_response(tagged, "call", "code").filter(F.col("response") != "retry")
-    latest = decided.groupBy("cluster").agg(
+    if fresh_after is not None:
+        tagged = tagged.filter(F.col("ts") >= fresh_after)
+    latest = classify_response(tagged, "call", "code").groupBy("cluster").agg(
         F.max_by(F.struct("response", "body"), F.struct("ts", "id")).alias("_r")
     )
     known = latest.select("cluster", "_r.response", "_r.body")
@@ -37,8 +42,9 @@ def fleet_health(responses: DataFrame, expected: DataFrame) -> tuple[DataFrame,
     verdict = judged.join(mode, "cluster", "left")
     alone = F.col("mode").eqNullSafe("standalone")
     reason = (
-        F.when(alone, "standalone")
-        .when(F.col("mode").isNull(), "no_response")
+        F.when(alone & (F.col("expected_nodes") > 1), "count_mismatch")
+        .when(alone, "standalone")
+        .when(F.col("mode").isNull() | (F.col("mode") == "retry"), "no_response")
         .otherwise(F.col("reason"))
     )
     verdicts = verdict.select(

@@ -25,14 +25,15 @@ def rollover_segments(
     """segment = tumbling window, and within it the bytes before the row over the cap.
 
     ``size`` is the column with a row's bytes. A row goes into the segment its first byte falls
-    into, so the number follows from the data alone and no row waits for another.
+    into, so the number follows from the data alone and no row waits for another. A row without a
+    size has 0 bytes.
     """
     start = F.window(ts, every)["start"]
     placed = events.withColumn("segment_start", start)
     summed = running(
         placed, ["segment_start"], [ts, tie], F.col(size).cast("long"), "_upto", "sum", rows_per_task
     )
-    before = F.col("_upto") - F.col(size)
+    before = F.col("_upto") - F.coalesce(F.col(size).cast("long"), F.lit(0))
     return summed.withColumn("segment_no", F.floor(before / max_bytes).cast("long")).drop("_upto")
 
 

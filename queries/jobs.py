@@ -29,15 +29,14 @@ def calls(spark, sf):
 
 
 RESPONSES = """WITH last AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM orders
-    WHERE o_orderpriority <> '2-HIGH'
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
 v AS (SELECT c_custkey AS cluster, o_orderkey, o_orderstatus,
         CAST(CASE WHEN c_acctbal < 0 THEN 2 ELSE 1 END AS BIGINT) AS expected_nodes,
-        CASE WHEN o_orderpriority <> '1-URGENT' THEN 1::BIGINT ELSE 0::BIGINT END AS nodes,
-        CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P' THEN 1::BIGINT ELSE 0::BIGINT
+        CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1::BIGINT ELSE 0::BIGINT END AS nodes,
+        CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'P' THEN 1::BIGINT ELSE 0::BIGINT
             END AS bad_nodes,
-        CASE WHEN o_orderkey IS NULL THEN 'no_response' WHEN o_orderpriority = '1-URGENT'
-            THEN 'standalone' WHEN c_acctbal < 0 THEN 'count_mismatch'
+        CASE WHEN o_orderkey IS NULL OR o_orderpriority = '2-HIGH' THEN 'no_response'
+            WHEN o_orderpriority = '1-URGENT' AND c_acctbal >= 0 THEN 'standalone' WHEN c_acctbal < 0 THEN 'count_mismatch'
             WHEN o_orderstatus = 'P' THEN 'not_connected' ELSE 'healthy' END AS reason
     FROM customer LEFT JOIN last ON o_custkey = c_custkey) """
 
@@ -65,7 +64,7 @@ def fleet_health(spark, sf):
     + """SELECT cluster, reason, 'host-' || o_orderkey || '='
             || CASE o_orderstatus WHEN 'P' THEN 'LOST' ELSE 'CONNECTED' END AS offender,
         1::BIGINT AS reports
-    FROM v WHERE reason IN ('count_mismatch', 'not_connected')""",
+    FROM v WHERE reason IN ('count_mismatch', 'not_connected') AND nodes > 0""",
 )
 def fleet_offenders(spark, sf):
     return health.fleet_health(calls(spark, sf), expected(spark, sf))[1]

@@ -41,7 +41,6 @@ def test_any_contained(spark):
     for found in (
         scraping.any_contained(df, "t", needles),
         scraping.any_contained(df, "t", table),
-        scraping.any_contained(df, "t", table, chunk_chars=15),
     ):
         assert sorted(r["i"] for r in found.collect()) == want
     assert 0 < len(want) < 200

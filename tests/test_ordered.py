@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from armada.operators.ordered import numbered, parts, running, slices, top_per_group
+from armada.operators.ordered import numbered, running, slices, top_per_group
 from armada.operators.sequences import (
     budget_keep,
     failure_runs,
@@ -66,16 +66,13 @@ def test_budget(skewed):
     same(budget_keep(*args), budget_keep(*args, rows_per_task=30))
 
 
-def test_parts_are_consecutive_and_ordered(skewed):
-    numbered = parts(skewed, ["k"], ["t", "id"], rows_per_task=30)
-    assert numbered.count() == skewed.count()
-    hot = sorted(
-        (r["t"], r["id"], r["part"]) for r in numbered.filter("k = 'hot'").collect()
-    )
-    seen = [p for _, _, p in hot]
-    assert seen == sorted(seen)
-    assert set(seen) == set(range(max(seen) + 1)) and max(seen) > 3
-    assert {r["part"] for r in numbered.filter("k = 'k1'").collect()} == {0}
+def test_null_sizes_take_no_room(skewed):
+    holes = skewed.withColumn("size", F.when(F.col("id") % 3 > 0, F.col("size")))
+    want = budget_keep(holes, "k", ["-t", "-id"], "size", 1000)
+    for per_task in (3, 5, 7):
+        same(want, budget_keep(holes, "k", ["-t", "-id"], "size", 1000, rows_per_task=per_task))
+    filled = budget_keep(holes.fillna(0, ["size"]), "k", ["-t", "-id"], "size", 1000)
+    same(want.drop("size"), filled.drop("size"))
 
 
 def test_failure_runs_against_plain_python(skewed):

@@ -266,11 +266,10 @@ def test_lines_and_lint(spark):
     assert rows(rendering.lint_placeholders(df, "t").select("i", "pos", "opened", "closed")) == [(1, 2, 2, 1)]
 
 
-@pytest.mark.parametrize("chunk", [4, 16_000_000])
-def test_any_contained(spark, chunk):
+def test_any_contained(spark):
     df = spark.createDataFrame([(1, "xxabcx"), (2, "nothing"), (3, None), (4, "zqz"), (5, "abc q")], "i int, t string")
     needles = spark.createDataFrame([("abc",), ("q",), ("abc",), (None,)], "text string")
-    got = scraping.any_contained(df, "t", needles, chunk_chars=chunk)
+    got = scraping.any_contained(df, "t", needles)
     assert rows(got.select("i"), "i") == [(1,), (4,), (5,)]
     assert rows(scraping.any_contained(df, "t", ["abc", "q"]).select("i"), "i") == [(1,), (4,), (5,)]
     assert scraping.any_contained(df, "t", needles.limit(0)).count() == 0
@@ -278,6 +277,79 @@ def test_any_contained(spark, chunk):
     assert scraping.any_contained(df, "t", blank).count() == 4
 
 
+def test_names_in_texts_by_words_and_by_characters(spark):
+    texts = ["up_total{a} 1", "xx the quick-brown fox", "quickbrown", "Ähre 日本", "é", "", None, "the quick-brown fox"]
+    names = ["e quick-brown fo", "up_total{", "re 日", "brown ", "quick", "nowhere at all", "é", "-"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    table = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "text string")
+    for some in (names, names[:1], names[2:3], names[5:6]):
+        chosen = table.filter(F.col("text").isin(some))
+        want = [i for i, t in enumerate(texts) if t is not None and any(n in t for n in some)]
+        found = scraping.any_contained(df, "t", chosen)
+        assert sorted(r["i"] for r in found.collect()) == want
+        assert "Python" not in found._jdf.queryExecution().toString()
+
+
+def test_parts_do_not_depend_on_the_cluster(spark):
+    props = spark.createDataFrame([("c", "f", f"k{i:04d}", '{{ getenv "NO" }} {' if i % 400 == 0 else "v") for i in range(1000)],
+                                  "cluster string, file string, key string, value string").repartition(7)
+    expect = None
+    for per_task in (3, 70, 2_000_000):
+        cut = rendering.render_files(props, ["cluster", "file"], lines_per_part=300, rows_per_task=per_task)
+        found = rows(cut, "part")
+        assert [r[2] for r in found] == [0, 1, 2, 3]
+        assert expect in (None, found)
+        expect = found
+
+
+def test_last_binding_counts(spark):
+    files = spark.createDataFrame([("c", "f", '{{ getenv "X" }}')], "cluster string, file string, body string")
+    base = spark.createDataFrame([("c", "X", "zzz", 1)], "cluster string, name string, value string, pos int")
+    auth = spark.createDataFrame([("c", "X", "aaa", 0)], "cluster string, name string, value string, pos int")
+    env = rendering.gather_env({"base": base, "auth": auth}, ["cluster", "name", "value", "pos"])
+    got = rendering.expand_templates(files, env, "cluster", ["file"], env_order=["source_rank", "pos"])
+    assert got.first()["body"] == "aaa"
+
+
+def test_unresolved_name_is_one_finding_of_a_file(spark):
+    props = spark.createDataFrame([("c", "f", f"k{i}", '{{ getenv "NO" }}') for i in range(5)] + [("c", "f", "z", "{")],
+                                  "cluster string, file string, key string, value string")
+    env = spark.createDataFrame([], "cluster string, name string, value string")
+    old = rendering.LINES_PER_PART
+    from armada.plans import audit
+    for size in (2, old):
+        files = rendering.render_files(props, ["cluster", "file"], lines_per_part=size)
+        expanded = rendering.expand_templates(files, env, "cluster", ["file", "part"])
+        assert expanded.count() == (3 if size == 2 else 1)
+    _, findings, _ = audit.configuration_audit(props, env)
+    assert sorted((r["finding"], r["detail"]) for r in findings.collect()) == [("unbalanced", "z={"), ("unresolved", "NO")]
+
+
+def test_repeated_lookup_keys(spark):
+    classes = spark.createDataFrame([("k", None, "x", None), ("k", "x", None, None), ("s", None, None, None)], "name string, oidc string, ldap string, static string")
+    clusters = spark.createDataFrame([("a", "k"), ("b", "s"), ("c", "no")], "cluster string, auth_class string")
+    got = {r["cluster"]: r["auth"] for r in lookups.resolve_auth(clusters, classes).collect()}
+    assert got == {"a": "oidc", "b": "unsupported", "c": "auth_class_missing"}
+    roles = spark.createDataFrame([("r", 1, {"a": "1"}), ("r", 2, {"b": "2"}), ("q", None, None)], "role string, n int, m map<string,string>")
+    groups = spark.createDataFrame([("r", None, {"c": "3"}), ("q", 7, None)], "role string, n int, m map<string,string>")
+    merged = {r["role"]: (r["n"], r["m"]) for r in lookups.layer_config(roles, groups, "role", ["n"], ["m"]).collect()}
+    assert merged == {"r": (2, {"b": "2", "c": "3"}), "q": (7, None)}
+
+
+def test_latest_call_decides(spark):
+    ok = '{"cluster":{"nodes":[{"address":"h","status":"CONNECTED"}]}}'
+    calls = [("dead", 1, 1, 200, ok)] + [("dead", 2 + i, i, 503, None) for i in range(9)] + [("fine", 1, 1, 503, None), ("fine", 2, 2, 200, ok)]
+    calls += [("alone", 1, 1, 404, None), ("short", 1, 1, 404, None)]
+    responses = spark.createDataFrame(calls, "cluster string, ts int, id int, code int, body string")
+    wanted = spark.createDataFrame([("dead", 1), ("fine", 1), ("alone", 1), ("short", 3), ("silent", 1)], "cluster string, expected_nodes int")
+    from armada.plans.health import fleet_health
+    got = {r["cluster"]: (r["reason"], r["healthy"]) for r in fleet_health(responses, wanted)[0].collect()}
+    assert got == {"dead": ("no_response", False), "fine": ("healthy", True), "alone": ("standalone", True),
+                   "short": ("count_mismatch", False), "silent": ("no_response", False)}
+    old = {r["cluster"]: r["reason"] for r in fleet_health(responses, wanted, F.lit(3))[0].collect()}
+    assert old["fine"] == "no_response"
+
+
 def test_metric_presence(spark):
     df = spark.createDataFrame([("a", "# HELP up_total x"), ("a", "up_total_sum 1"), ("b", "x 1\nup_total{a=\"1\"} 2"), ("c", None)], "target string, body string")
     loose = scraping.metric_present(df, "target", "body", "up_total")
