@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from armada.session import pin
 
 # Up to this many names the search is one expression per name inside the JVM.
 INLINE_NEEDLES = 32
 
-# Names are sent to the tasks in chunks of at most this many characters.
-CHUNK_CHARS = 16_000_000
+# Characters by which names without an inner word are looked up.
+GRAM = 8
 
 
 def metric_present(
@@ -36,54 +30,37 @@ def metric_present(
     )
 
 
-def _scan(words: list[str], col: str, out: str):
-    """Batch function that ors 'contains one of the words' into a boolean column."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once for all uses inside."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for word in words:
-            automaton.add_word(word, 1)
-        automaton.make_automaton()
 
-        def hit(text: str | None) -> bool:
-            return text is not None and next(automaton.iter(text), None) is not None
+def _words(text: str) -> Column:
+    return F.split(F.col(text), r"[^\p{L}\p{N}]+", -1)
 
-        for batch in batches:
-            found = batch[col].map(hit).astype(bool)
-            yield batch.assign(**{out: batch[out].astype(bool) | found})
 
-    return search
+def _grams(text: str, n: int) -> Column:
+    """Distinct runs of n characters."""
 
+    def runs(letters: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(letters) - n + 1)
+        cut = F.transform(places, lambda i: F.array_join(F.slice(letters, i, F.lit(n)), ""))
+        return F.when(F.size(letters) >= n, F.array_distinct(cut)).otherwise(
+            F.array().cast("array<string>")
+        )
 
-def _chunks(needles: DataFrame, needle: str, chars: int) -> Iterator[list[str]]:
-    """Distinct needles in lists of bounded size, streamed from the executors in order."""
-    rows = needles.select(needle).filter(F.col(needle).isNotNull()).distinct().orderBy(needle)
-    chunk: list[str] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        if chunk and size + len(row[0]) > chars:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(row[0])
-        size += len(row[0])
-    if chunk:
-        yield chunk
+    return _bound(F.split(F.col(text), "", -1), runs)
 
 
 def any_contained(
-    df: DataFrame,
-    col: str,
-    needles: list[str] | DataFrame,
-    needle: str = "text",
-    chunk_chars: int = CHUNK_CHARS,
+    df: DataFrame, col: str, needles: list[str] | DataFrame, needle: str = "text"
 ) -> DataFrame:
-    """Rows whose text contains at least one needle.
+    """Rows whose text contains at least one needle. The empty needle is in every text.
 
-    A short list becomes one expression. A table of needles is searched with one pass per text
-    whatever their number, in chunks of bounded size; only a table beyond the first chunk makes
-    further passes, each over the rows that are still without a hit.
+    A short list becomes one expression. A table is joined: each needle is filed under its longest
+    inner word, which has other signs on both sides and so is a whole word of any text that holds
+    the needle; needles without one, under their first characters. Only pairs that share this key
+    are compared in full.
     """
     if isinstance(needles, list):
         if len(needles) <= INLINE_NEEDLES:
@@ -93,23 +70,27 @@ def any_contained(
             return df.filter(hit)
         needles = df.sparkSession.createDataFrame([(w,) for w in needles], f"{needle} string")
 
-    out = "_hit"
-    flagged = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
-    waiting = df.withColumn(out, F.lit(False))
-    matched: list[DataFrame] = []
-    pending = None
-    for words in _chunks(needles, needle, chunk_chars):
-        if "" in words:
-            # The empty text is contained in every text.
-            return df.filter(F.col(col).isNotNull())
-        if pending is not None:
-            scanned = pin(pending)
-            matched.append(scanned.filter(out))
-            waiting = scanned.filter(~F.col(out))
-        pending = waiting.mapInPandas(_scan(words, col, out), flagged)
-    if pending is None:
-        return df.filter(F.lit(False))
-    result = pending.filter(out)
-    for earlier in matched:
-        result = result.unionByName(earlier)
-    return result.drop(out)
+    words = needles.select(F.col(needle).alias("_needle")).filter("_needle IS NOT NULL").distinct()
+    inner = _bound(_words("_needle"), lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    filed = words.withColumn("_key", longest["w"])
+    few = filed.filter("_key IS NULL").withColumn("_n", F.least(F.length("_needle"), F.lit(GRAM)))
+    lengths = sorted(r["_n"] for r in few.select("_n").distinct().collect())
+    if 0 in lengths:
+        return df.filter(F.col(col).isNotNull())
+    texts = df.select(F.col(col).alias("_text"), F.xxhash64(col).alias("_hash")).filter("_text IS NOT NULL")
+    keys = F.transform(F.array_distinct(_words("_text")), lambda w: F.struct(F.lit(0).alias("n"), w.alias("k")))
+    for n in lengths:
+        found = F.transform(_grams("_text", n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("k")))
+        keys = F.concat(keys, found)
+    wanted = filed.filter("_key IS NOT NULL").select("_needle", F.lit(0).alias("_n"), "_key").unionByName(
+        few.select("_needle", "_n", F.expr("left(_needle, _n)").alias("_key"))
+    )
+    met = (
+        texts.select("_hash", F.inline(keys))
+        .join(wanted, (F.col("n") == F.col("_n")) & (F.col("k") == F.col("_key")))
+        .select("_hash", "_needle")
+        .distinct()
+    )
+    holds = (F.xxhash64(df[col]) == met["_hash"]) & df[col].contains(met["_needle"])
+    return df.join(met, holds, "left_semi")
