@@ -435,3 +435,18 @@ def test_response_classes(spark):
                                "i int, call string, code int")
     got = health.classify_response(df, "call", "code").select("i", "response")
     assert [v for _, v in rows(got, "i")] == ["anonymous", "retry", "standalone", "standalone", "ok", "retry", "ok"]
+
+
+def test_silent_clusters_have_a_row_in_each_window(spark):
+    from armada.streaming.snapshots import stream_health, with_silent
+
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    body = '{"cluster":{"nodes":[{"address":"h","status":"CONNECTED"}]}}'
+    bodies = spark.createDataFrame([("a", at(0), 1, body), ("a", at(5), 2, body), ("b", at(5), 3, body)],
+                                   "cluster string, ts timestamp, id int, body string")
+    wanted = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("c", 1)], "cluster string, expected_nodes int")
+    judged = stream_health(bodies, wanted, "cluster", "body", "ts", "id", every="1 minute")
+    assert judged.count() == 3
+    got = sorted((r["window_start"].minute, r["cluster"], r["reason"]) for r in with_silent(judged, wanted, "cluster").collect())
+    assert got == [(0, "a", "healthy"), (0, "b", "no_response"), (0, "c", "no_response"),
+                   (5, "a", "healthy"), (5, "b", "healthy"), (5, "c", "no_response")]
