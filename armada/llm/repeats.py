@@ -155,44 +155,50 @@ def settled(rows: DataFrame) -> DataFrame:
 def same_strings(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which text, where in it, and the class of each string of ``length`` bytes in the texts.
 
-    Suffixes are sorted by their first bytes, by doubling, and neighbours told apart level by level by
-    backward extension: of two rows next to each other among those with one preceding byte, the
-    extended ones differ within l + 1 bytes iff a border of level l lies between the rows.
+    Suffixes are sorted by their first bytes, eight and then by doubling. The sort itself shows which
+    neighbours differ within the widest doubling below ``length``; from there on neighbours are told
+    apart level by level by backward extension: of two rows next to each other among those with one
+    preceding byte, the extended ones differ within l + 1 bytes iff a border of level l lies between
+    the rows. Everything is cyclic, as the transform is; strings over the end of a text are left out,
+    so one sign can end all of them.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64)
-    closing = np.cumsum(sizes + 1) - 1
-    joined[closing] = 256 + np.arange(len(texts))  # an end of its own for each text
+    joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     total = len(joined)
-    rank, width = joined, 1
-    while width < length:
-        nearby = np.concatenate([rank[width:], np.zeros(min(width, total), dtype=np.int64)])[:total] + 1
-        rank = np.unique(rank * (int(nearby.max()) + 1) + nearby, return_inverse=True)[1].astype(np.int64)
+    padded = np.resize(joined, total + 7).astype(np.uint64)
+    key = np.zeros(total, dtype=np.uint64)
+    for i in range(8):
+        key = (key << np.uint64(8)) | padded[i : i + total]
+    width, level, shallow = 8, 0, None
+    while True:
+        order = np.argsort(key)
+        sorted_ = key[order]
+        fresh = np.concatenate([[False], sorted_[1:] != sorted_[:-1]])
+        rank = np.empty(total, dtype=np.int64)
+        rank[order] = np.cumsum(fresh)
+        if width >= length:
+            break
+        level, shallow = width, rank
+        key = (rank * (int(rank.max()) + 1) + np.roll(rank, -width)).view(np.uint64)
         width *= 2
-    order = np.argsort(rank, kind="stable")
     preceding = joined[order - 1]
     extended = np.argsort(preceding, kind="stable")  # row m of the order comes from row extended[m]
-    first = np.ones(total, dtype=bool)
-    first[1:] = preceding[extended[1:]] != preceding[extended[:-1]]
-    border = np.zeros(total, dtype=bool)
-    border[0] = True
-    new = first.copy()
-    level = 1
-    open_ = np.flatnonzero(~first)
+    before = shallow[order] if level else np.zeros(total, dtype=np.int64)
+    border = np.concatenate([[True], before[1:] != before[:-1]])
+    first = np.concatenate([[True], preceding[extended[1:]] != preceding[extended[:-1]]])
+    border |= first
+    open_ = np.flatnonzero(~border)
     low, high = extended[open_ - 1], extended[open_]
-    while True:
-        border = new
-        if level == length or not len(open_):
-            break
+    for _ in range(max(level, 1), length):
         sums = np.cumsum(border, dtype=np.int32)
         apart = sums[high] > sums[low]
-        new = border.copy()
-        new[open_[apart]] = True
-        open_, low, high = open_[~apart], low[~apart], high[~apart]
-        level += 1
+        if apart.any():
+            border[open_[apart]] = True
+            open_, low, high = open_[~apart], low[~apart], high[~apart]
     classes = np.empty(total, dtype=np.int64)
     classes[order] = np.cumsum(border)
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
+    closing = np.cumsum(sizes + 1) - 1
     inside = np.arange(total) - np.repeat(closing - sizes, sizes + 1)
     whole = inside + length <= np.repeat(sizes, sizes + 1)
     return owner[whole], inside[whole], classes[whole]
@@ -259,23 +265,52 @@ def compared(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, SPANS)
 
 
+def window_digests(rows: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the strings of LENGTH bytes in each row of a byte matrix."""
+    found, widths = _BYTES[rows] ^ mixed(np.array([seed], dtype=np.uint64))[0], {}
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = a * np.uint64(0x9E3779B97F4A7C15) + b
+        both ^= both >> np.uint64(29)
+        both *= np.uint64(0xBF58476D1CE4E5B9)
+        both ^= both >> np.uint64(32)
+        return both
+
+    width = 1
+    with np.errstate(over="ignore"):
+        while width <= LENGTH:
+            widths[width] = found
+            if 2 * width <= LENGTH:
+                found = joined(found[:, :-width], found[:, width:])
+            width *= 2
+        done, total = 0, None
+        strings = rows.shape[1] - LENGTH + 1
+        for width in sorted(widths, reverse=True):
+            if LENGTH - done >= width:
+                part = widths[width][:, done : done + strings]
+                total = part if total is None else joined(total, part)
+                done += width
+    return total
+
+
 def digested(contexts: DataFrame) -> DataFrame:
     """The same for anchors with very many contexts: the least (doc, place) of each string's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES // 16):
-            high, low, docs, tags, places = [], [], [], [], []
-            for doc, tag, begin, data in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "begin", "bytes"))):
-                for i in range(len(data) - LENGTH + 1):
-                    digest = xxhash.xxh128_intdigest(data[i : i + LENGTH])
-                    high.append((digest >> 64) - (1 << 63))
-                    low.append((digest & (1 << 64) - 1) - (1 << 63))
-                    docs.append(doc)
-                    tags.append(tag)
-                    places.append(begin + i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (high, low, docs, tags, places)], names=["high", "low", "doc", "tag", "place"]
-            )
+            data = batch.column("bytes").to_pylist()
+            sizes = np.array([len(d) for d in data])
+            named = [batch.column(n).to_numpy() for n in ("doc", "tag", "begin")]
+            for size in np.unique(sizes):
+                same = np.flatnonzero(sizes == size)
+                rows = np.frombuffer(b"".join(data[i] for i in same), np.uint8).reshape(len(same), size)
+                strings = int(size) - LENGTH + 1
+                high, low = (window_digests(rows, seed).view(np.int64).ravel() for seed in (1, 2))
+                doc, tag, begin = (np.repeat(n[same], strings) for n in named)
+                place = begin + np.tile(np.arange(strings), len(same))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (high, low, doc, tag, place)], names=["high", "low", "doc", "tag", "place"]
+                )
 
     strings = staged(contexts.mapInArrow(run, "high long, low long, doc long, tag long, place long"), "strings")
     least = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "place")).alias("least"), F.count("*").alias("n"))
@@ -364,8 +399,8 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     ).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)))
     long_rows = rows.where(F.octet_length("text") >= LENGTH)
-    marked = settled(anchored(long_rows.select("text", "doc", "tag")))
-    marked = staged(marked, "anchors")
+    found = staged(anchored(long_rows.select("text", "doc", "tag")), "found-anchors")
+    marked = staged(settled(found), "anchors")
 
     least = marked.where("kind = 0").groupBy("hash", "context").agg(
         F.min(F.struct("doc", "place")).alias("least"), F.count("*").alias("n")
