@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +28,8 @@ MAGIC = b"DAC1"
 DIRECTORY = 512
 SEGMENT_TOKENS = 1 << 20
 BATCH_BYTES = 4_000_000
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
+LATIN_END = "\u0250"
 END_ID = 1
 
 _SCHEMA = (
@@ -118,7 +118,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
     Only for tokenizers whose pieces never hold white space, which is where texts are cut, and that
-    give the digit zero an id of its own: words are encoded many at a time with zeros between them.
+    give the digit zero an id of its own: words are encoded many at a time with zeros between them. The
+    tokenizer lower-cases, and its pieces end where a letter meets a comma or full stop.
     """
 
     TOGETHER = 1000
@@ -136,8 +137,27 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def plain(word: str) -> tuple[str, str]:
+        """The word and its last sign apart, and in lower case, where that is sure to change no id."""
+        sign = ""
+        if word[-1:] in (",", ".") and len(word) > 1 and word[-2].isalpha() and word[-2] < LATIN_END:
+            word, sign = word[:-1], word[-1]
+        if word.isascii() and "<" not in word:
+            word = word.lower()
+        return word, sign
+
     def learn(self, words: set[str]) -> None:
-        """Store the ids of new words as little-endian 32-bit numbers."""
+        """Store the ids of new words."""
+        if not words:
+            return
+        forms = {w: self.plain(w) for w in words}
+        self.encode({f for form in forms.values() for f in form}.difference(self.known))
+        for word, (stem, sign) in forms.items():
+            self.known[word] = self.known[stem] + self.known[sign]
+
+    def encode(self, words: set[str]) -> None:
+        """Ids as little-endian 32-bit numbers."""
         plain = [w for w in words if "0" not in w]
         groups = [plain[i : i + self.TOGETHER] for i in range(0, len(plain), self.TOGETHER)]
         for group, found in zip(groups, self.ids([" 0 ".join(group) for group in groups])):
@@ -174,63 +194,50 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(documents: DataFrame, path: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n, ids): the ids and the end id as a compressed segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tables(batches, BATCH_BYTES):
-            counts, packed = [], []
-            for ids in encoder(path)([t or "" for t in batch.column("text").to_pylist()]):
-                numbers = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id))
-                counts.append(len(numbers))
-                packed.append(zstandard.compress(encode(numbers), 3))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n", "ids"],
-            )
-
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary")
-
-
 def write_tokens(documents: DataFrame, path: str, folder: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents to ``folder`` in ascending order of doc_id, null first.
 
     Null texts hold the end id alone, as do empty ones. Repeated rows each keep their place, those of
-    one id side by side. An empty table writes no segment. Other columns are ignored.
+    one id side by side in the order of a hash of their texts, by which rows without id, however many,
+    are spread over ranges as well. An empty table writes no segment. Other columns
+    are ignored. Texts are put in order before they are encoded, for the ranges are found by a pass of
+    its own, which then only reads ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        held_ids, held = [], []
+        held_ids, lengths, held = [], [], []
         size = 0
+        end = np.array([end_id], dtype="<u4").tobytes()
 
         def segment() -> pa.RecordBatch:
+            data = encode(np.frombuffer(b"".join(held), dtype="<u4"))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                    pa.array([held_ids], pa.list_(pa.int64())),
-                    pa.array([[len(x) for x in held]], pa.list_(pa.int64())),
-                    pa.array([size], pa.int64()), pa.array([encode(np.concatenate(held))], pa.binary()),
+                    pa.array([held_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
+                    pa.array([size], pa.int64()), pa.array([data], pa.binary()),
                 ],
                 names=["part", "segment", "doc_ids", "lengths", "n_tokens", "data"],
             )
 
-        for batch in batches:
-            for name, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                stored = Segment(zstandard.decompress(packed))
+        for batch in tables(batches, BATCH_BYTES):
+            found = encoder(path)([t or "" for t in batch.column("text").to_pylist()])
+            for name, ids in zip(batch.column("doc_id").to_pylist(), found):
                 held_ids.append(name)
-                held.append(stored.slice(0, len(stored)))
-                size += len(stored)
+                held.append(ids + end)
+                lengths.append(len(held[-1]) // 4)
+                size += lengths[-1]
                 if size >= SEGMENT_TOKENS:
                     yield segment()
-                    held_ids, held, size, number = [], [], 0, number + 1
+                    held_ids, lengths, held, size, number = [], [], [], 0, number + 1
         if held:
             yield segment()
 
-    rows = encoded(documents, path, end_id, doc_id, text)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    ordered.select("doc_id", "ids").mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(folder)
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keys = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 
 def read_tokens(spark, folder: str) -> DataFrame:

@@ -72,6 +72,9 @@ def test_near_duplicates(spark, monkeypatch, n, percent, tile, frequent):
     monkeypatch.setattr(jaccard, "TILE", tile)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     docs = near_docs()
+    chain = prose(321, 100).split()  # two texts that only one without an id links
+    docs += [(i, " ".join(chain[:k] + ["zz"] * (0 if i else 1) + chain[k + 1 :])) for i, k in ((970, 3), (None, 3))]
+    docs += [(971, " ".join(chain[:3] + ["zz"] + chain[4:97] + ["yy"]))]
     got = jaccard.near_duplicates(frame(spark, docs), n, percent).select("doc_id", "n_shingles", "component_id").collect()
     assert ordered(map(tuple, got)) == ordered(plain_components(docs, n, percent))
 
