@@ -27,6 +27,30 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator, removed once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """Write the result to a table that stays, and remove the others."""
+        kept = staged(df, label)
+        configuration = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
+        self.paths = []
+        return kept
+
+
 def lower_ascii(column):
     return F.translate(column, ASCII_UPPER, ASCII_LOWER)
 

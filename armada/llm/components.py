@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armada.llm.common import staged
+from armada.llm.common import Scratch
 
 MOST_ROUNDS = 60
 
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of long ids to rows (id, label): ids of one component share their label."""
+    staged = Scratch(links.sparkSession)
     edges = staged(links.where("a <> b").select("a", "b").distinct(), "links")
     labels = None
     for _ in range(MOST_ROUNDS):
@@ -42,4 +43,4 @@ def components(links: DataFrame) -> DataFrame:
         raise RuntimeError("components did not settle")
     if labels is None:
         return links.sparkSession.createDataFrame([], "id long, label long")
-    return labels
+    return staged.result(labels, "component-labels")

@@ -1,8 +1,9 @@
 """Similarity join on word shingles: size-banded tiles, bitmap signatures, exact intersection.
 
-Equal sets are one class from the start. Of each class a few shingles become keys: in one common
-order, with shingles found in many texts last, sets as similar as asked share at least COMMON of
-their first n - ceil(threshold * n) + COMMON ones. Rows of a key are a tile, ordered by size, and only
+Equal sets are one class from the start. Of each class a few shingles become keys: in any one common
+order, sets as similar as asked share at least COMMON of their first n - ceil(threshold * n) + COMMON
+shingles. The order puts shingles of rare words first and shingles found in many texts last, as a
+bounded sample shows them; it decides how many keys are shared by chance, not what is found. Rows of a key are a tile, ordered by size, and only
 pairs inside the size band can match.
 
 Two passes keep large groups of near copies linear. The first compares neighbours of each tile only
@@ -20,19 +21,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armada.llm.common import gram_hashes, share_of, staged, tables
+from armada.llm.common import WORD, Scratch, gram_hashes, lower_ascii, share_of, staged, tables
 from armada.llm.components import components
 
 COMMON = 3
 WORDS_IN_SIGNATURE = 4
-SAMPLE = 4000  # texts from which the frequent shingles are estimated; they only set the order
+SAMPLE = 4000  # texts from which frequent words and shingles are estimated; they only set the order
 FREQUENT = 8  # texts of the sample that hold a frequent shingle
+FREQUENT_WORD = 8  # times a word of the sample is found to be told from rare ones
+WORDS_KNOWN = 50_000
 TILE = 1000  # rows of one block of a tile
 BATCH_BYTES = 4_000_000
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 
 class Hashes(dict):
@@ -50,11 +54,23 @@ _KNOWN = Hashes()
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; fewer words make one shingle, none make none."""
+    return weighed_shingles(text, n, {})[0]
+
+
+def weighed_shingles(text: str | None, n: int, levels: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and with each the sum of the levels of its words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    n = min(n, len(words))
     hashes = np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
-    return np.unique(gram_hashes(hashes, min(n, len(words)), seed=min(n, len(words))))
+    found = gram_hashes(hashes, n, seed=n)
+    if not levels:
+        return np.unique(found), np.zeros(0, dtype=np.int64)
+    get = levels.get
+    sums = np.concatenate([[0], np.cumsum(np.array([get(w, 0) for w in words], dtype=np.int64))])
+    found, first = np.unique(found, return_index=True)
+    return found, (sums[n:] - sums[:-n])[first]
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -67,11 +83,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.packbits(counts.astype(np.uint8)).view("<i8")
 
 
-def frequent_shingles(texts: DataFrame, n: int) -> np.ndarray:
-    """Hashes of shingles that many texts hold, most frequent last; bounded by the sample."""
+def frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, dict[bytes, int]]:
+    """From a bounded sample: frequent shingles, most frequent last, and the level of frequent words."""
     total = texts.count()
     if not total:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,39 +95,46 @@ def frequent_shingles(texts: DataFrame, n: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, n).view(np.int64))], names=["shingle"])
 
     sample = texts.where(F.col("text").isNotNull() & (share_of(F.col("text"), "frequent") < SAMPLE / total))
+    sample = staged(sample.select("text").distinct(), "sample")
     counts = (
-        sample.select("text").distinct().mapInArrow(run, "shingle long").groupBy("shingle")
+        sample.mapInArrow(run, "shingle long").groupBy("shingle")
         .agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy("n", "shingle").collect()
     )
-    return np.array([r["shingle"] for r in counts], dtype=np.int64).view(np.uint64)
+    words = (
+        sample.select(F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0))).alias("word"))
+        .groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_WORD)
+        .orderBy(F.desc("n"), "word").limit(WORDS_KNOWN).collect()
+    )
+    levels = {r["word"].encode(): int(r["n"]).bit_length() for r in words}
+    return np.array([r["shingle"] for r in counts], dtype=np.int64).view(np.uint64), levels
 
 
 def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (doc_id, size, id, keys, bits); id is a hash of the whole set, null for an empty one."""
-    last = frequent_shingles(texts, n)
+    last, levels = frequencies(texts, n)
     order = np.argsort(last)
     last_sorted = last[order]
 
-    def keys(found: np.ndarray) -> np.ndarray:
+    def keys(found: np.ndarray, sums: np.ndarray) -> np.ndarray:
         size = len(found)
         if 100 * size < percent * (size + 1):
             return found[:0]  # so small that only equal sets match
         wanted = min(size, size - least_overlap(size, percent) + COMMON)
+        rank = np.zeros(size, dtype=np.int64)
         if len(last_sorted):
             at = np.minimum(np.searchsorted(last_sorted, found), len(last_sorted) - 1)
             rank = np.where(last_sorted[at] == found, order[at] + 1, 0)
-            if rank.any():
-                found = found[np.argsort(rank, kind="stable")]
-        return found[:wanted]
+        return found[np.lexsort((found, sums, rank))[:wanted]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES):
             sizes, ids, first, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
-                found = shingles(text, n)
+                found, sums = weighed_shingles(text, n, levels)
+                sums = sums if levels else np.zeros(len(found), dtype=np.int64)
                 sizes.append(len(found))
                 ids.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None)
-                first.append(keys(found).view(np.int64))
+                first.append(keys(found, sums).view(np.int64))
                 bits.append(signature(found))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -125,55 +148,55 @@ def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, size long, id long, keys array<bigint>, bits array<bigint>")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Rows (key, size, id) of keys with several rows, each with the row before it in its tile.
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, size, id, previous) that share their tile with another in the size band.
 
-    Ranges are cut by key, size and id, so a tile of any length is spread. Rows at the edge of a range
-    are kept even when they are alone there, for their tile may go on in the next one.
+    ``previous`` is the row before in the tile, when it is in the band. Ranges are cut by key, size and
+    id, so a tile of any length is spread, and copies of a row fall together and count once. In order of
+    size the nearest row of a tile is next to it. Rows of the tiles at the edges of a range are kept in
+    any case, for these may go on in the next range.
     """
+    names = ("key", "size", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        before = (None, None)  # key and id of the row before the held rows
-        opening = True
+        held, before, opening = None, None, None  # rows held back; the row before them; the first key
 
-        def kept(rows, closing):
+        def kept(rows, following):
+            """Rows that stay, given the row before and the one that follows (None at the end)."""
             nonlocal before, opening
-            key, ids = rows["key"], rows["id"]
-            same = np.empty(len(key) + 1, dtype=bool)
-            same[0] = opening or before[0] == key[0]
-            same[1:-1] = key[1:] == key[:-1]
-            same[-1] = closing
-            linked = np.concatenate([[before[0] is not None and before[0] == key[0]], same[1:-1]])
-            previous = np.concatenate([[before[1] or 0], ids[:-1]])
-            choose = same[:-1] | same[1:]
-            if opening:  # the first tile of the range, and at its end the last one
-                choose |= key == key[0]
-            if closing:
-                choose |= key == key[-1]
-            before, opening = (key[-1], ids[-1]), False
+            own = [np.concatenate([[x if before is None else before[i]], rows[n], [x if following is None else following[i]]])
+                   for i, (n, x) in enumerate(zip(names, (0, 0, 0)))]
+            key, size, ids = own
+            near = (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            near[0] &= before is not None
+            near[-1] &= following is not None
+            opening = rows["key"][0] if opening is None else opening
+            choose = near[:-1] | near[1:] | (rows["key"] == opening)
+            if following is None:
+                choose |= rows["key"] == rows["key"][-1]
+            before = tuple(rows[n][-1] for n in names)
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key[choose]), pa.array(rows["size"][choose]), pa.array(ids[choose]),
-                    pa.array(previous[choose], mask=~linked[choose]),
-                ],
-                names=["key", "size", "id", "previous"],
+                [*(pa.array(rows[n][choose]) for n in names), pa.array(ids[:-2][choose], mask=~near[:-1][choose])],
+                names=[*names, "previous"],
             )
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {n: batch.column(n).to_numpy() for n in ("key", "size", "id")}
+            new = {n: batch.column(n).to_numpy() for n in names}
             if held is not None:
-                new = {n: np.concatenate([held[n], new[n]]) for n in new}
-            if len(new["key"]) > 1:
-                yield kept({n: v[:-1] for n, v in new.items()}, closing=bool(new["key"][-1] == new["key"][-2]))
+                new = {n: np.concatenate([held[n], new[n]]) for n in names}
+            different = np.ones(len(new["id"]), dtype=bool)
+            different[1:] = (new["key"][1:] != new["key"][:-1]) | (new["id"][1:] != new["id"][:-1])
+            new = {n: v[different] for n, v in new.items()}
+            if len(new["id"]) > 1:
+                yield kept({n: v[:-1] for n, v in new.items()}, tuple(new[n][-1] for n in names))
             held = {n: v[-1:] for n, v in new.items()}
         if held is not None:
-            yield kept(held, closing=True)
+            yield kept(held, None)
 
-    ranged = rows.repartitionByRange("key", "size", "id").sortWithinPartitions("key", "size", "id")
-    return ranged.select("key", "size", "id").mapInArrow(run, "key long, size long, id long, previous long")
+    ranged = rows.repartitionByRange(*names).sortWithinPartitions(*names)
+    return ranged.select(*names).mapInArrow(run, "key long, size long, id long, previous long")
 
 
 def in_band(small, large, percent: int):
@@ -257,49 +280,67 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return tiled.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets, sorted arrays of hashes, are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets, sorted arrays of hashes, are similar enough.
+
+    Compressed texts travel, as they are several times smaller than their sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+        for batch in tables(batches, BATCH_BYTES // 4):
+            known: dict[int, np.ndarray] = {}
+
+            def found(name: int, packed: bytes) -> np.ndarray:
+                if name not in known:
+                    known[name] = shingles(zstandard.decompress(packed).decode(), n)
+                return known[name]
+
             good = []
-            for x, y in zip(left, right):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            for x, y, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
+                one, two = found(x, left), found(y, right)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
-    first = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
-    second = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
+    first = sets.select(F.col("id").alias("a"), F.col("packed").alias("left"))
+    second = sets.select(F.col("id").alias("b"), F.col("packed").alias("right"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "left", "right")
     return joined.mapInArrow(run, "a long, b long, good boolean").where("good").select("a", "b")
 
 
-def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs of the size band that the signatures do not rule out."""
-    one = classes.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
-    two = classes.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
+    one = signs.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
+    two = signs.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
     rows = pairs.join(one, "a").join(two, "b")
     band = in_band(F.least("sa", "sb"), F.greatest("sa", "sb"), percent)
     return rows.where(band & may_match(F.col("sa"), F.col("sb"), F.col("ba"), F.col("bb"), percent)).select("a", "b")
 
 
 def sets_of(texts: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Rows (id, elements) of the wanted ids, from the text of one document of each."""
+    """Rows (id, packed) of the wanted ids: the compressed text of one document of each.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for batch in tables(batches, BATCH_BYTES):
-            found = [shingles(t, n) for t in batch.column("text").to_pylist()]
+            packed = [press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables(batches, BATCH_BYTES // 4):
+            found = [shingles(zstandard.decompress(p).decode(), n) for p in batch.column("packed").to_pylist()]
             ids = [xxhash.xxh64_intdigest(f.tobytes()) - (1 << 63) if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "elements"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column("packed")], names=["id", "packed"])
 
     one = members.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    chosen = texts.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    found = chosen.mapInArrow(run, "id long, elements binary").where("id IS NOT NULL")
-    return found.groupBy("id").agg(F.first("elements").alias("elements"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    packed = texts.where("text IS NOT NULL").mapInArrow(pack, f"doc_id {kind}, packed binary")
+    chosen = packed.join(one.select("doc_id").distinct(), "doc_id", "left_semi").select("packed")
+    chosen = chosen.union(packed.where("doc_id IS NULL").select("packed"))  # cannot be joined, so all of them
+    found = chosen.mapInArrow(run, "id long, packed binary").where("id IS NOT NULL")
+    return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("packed").alias("packed"))
 
 
 def near_duplicates(
@@ -318,37 +359,34 @@ def near_duplicates(
     if percent < 67:
         raise ValueError("below 67 percent, small sets may match that share fewer than COMMON shingles")
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    staged = Scratch(texts.sparkSession)
     rows = staged(described(texts, n, percent), "sets")
     members = rows.select("doc_id", "size", "id")
-    classes = rows.where("size(keys) > 0").groupBy("id").agg(
-        F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
-    )
-    classes = staged(classes, "classes")
-    tiles = staged(neighbours(classes.select(F.explode("keys").alias("key"), "size", "id")), "tiles")
+    keyed = rows.where("size(keys) > 0")
+    tiles = staged(neighbours(keyed.select(F.explode("keys").alias("key"), "size", "id"), percent), "tiles")
+    # A pair shares COMMON keys, so both its classes are in as many tiles; their sets are cut once.
+    wanted = tiles.groupBy("id").agg(F.count("*").alias("tiles")).where(F.col("tiles") >= COMMON).select("id")
+    wanted = staged(wanted, "wanted")
+    signs = keyed.select("id", "size", "bits").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    signs = staged(signs, "signatures")
+    sets = staged(sets_of(texts, members, wanted, n), "near-sets")
     near = (
         tiles.where("previous IS NOT NULL AND previous <> id")
         .groupBy(F.least("id", "previous").alias("a"), F.greatest("id", "previous").alias("b"))
         .agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
     )
-    signs = classes.select("id", "size", "bits")
     near = staged(bounded(near.select("a", "b"), signs, percent), "near")
 
-    known = tiles.select("key", "size", "id").distinct()
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    sets = staged(sets_of(texts, members, wanted, n), "near-sets")
-    first = staged(verified(near, sets, percent), "first-links")
+    first = staged(verified(near, sets, n, percent), "first-links")
     labels = components(first)
 
-    marked = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    marked = staged(marked, "marked")
+    shared = tiles.select("key", "size", "id").join(wanted, "id", "left_semi")
+    marked = staged(shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "marked")
     open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = marked.join(open_keys, "key", "left_semi").join(classes.select("id", "bits"), "id")
+    left = staged(marked.join(open_keys, "key", "left_semi"), "open-tiles").join(signs.select("id", "bits"), "id")
     pairs = tile_pairs(left, percent).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
     pairs = staged(pairs.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    missing = wanted.join(sets.select("id"), "id", "left_anti")
-    more = staged(sets_of(texts, members, missing, n), "more-sets")
-    second = staged(verified(pairs, sets.union(more), percent), "second-links")
+    second = staged(verified(pairs, sets, n, percent), "second-links")
     links = first.union(second)
     labels = components(links)
 
@@ -360,10 +398,11 @@ def near_duplicates(
     per_class = copies.join(degrees, "id", "left").select(
         F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("found")
     )
-    return (
+    result = (
         named.join(least, "label", "left").join(per_class, F.col("id") == F.col("class_id"), "left")
         .select(
             "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"),
             F.coalesce("found", F.lit(0)).alias("n_links"),
         )
     )
+    return staged.result(result, "components")
