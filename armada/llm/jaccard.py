@@ -12,6 +12,10 @@ long ones into blocks, and compares all pairs across components inside the band:
 signature gives a lower bound on the elements not shared, hence an upper bound on the overlap, and
 what may still match is settled by intersecting the sorted arrays. So no link between different
 components is missed, and pairs inside a component found already cost nothing.
+
+Links are counted afterwards: every link is inside a component, so the classes of each component are
+cut into blocks, each two blocks meet once, and all their overlaps come from one product of matrices.
+A task gives sums per class, so the pairs of a group are never rows.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ WORDS_KNOWN = 50_000
 TILE = 1000  # rows of one block of a tile
 BATCH_BYTES = 4_000_000
 MOST_WORDS = 200_000
+BLOCK_SHINGLES = 1_000_000  # shingles of one block of a component, about
+COLUMNS = 4096  # shingles that are multiplied at a time
 
 
 class Hashes(dict):
@@ -343,15 +349,87 @@ def sets_of(texts: DataFrame, members: DataFrame, wanted: DataFrame, n: int) ->
     return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("packed").alias("packed"))
 
 
+def overlaps(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered ``first`` with those numbered ``second``."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(values)]]))
+    owner = owner[np.repeat(counts > 1, counts)]  # a shingle of one set alone is in no intersection
+    counts = counts[counts > 1]
+    column = np.repeat(np.arange(len(counts)), counts)
+    both = np.zeros((len(first), len(second)), dtype=np.float32)  # exact below 2 ** 24
+    for start in range(0, len(counts), COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, len(counts) - start)), dtype=np.float32)
+        held[owner[low:high], column[low:high] - start] = 1
+        both += held[first] @ held[second].T
+    return both.astype(np.int64)
+
+
+def degrees(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (id, links): the documents of all other classes that are similar enough.
+
+    Classes are (id, label, size, copies). The classes of a label are cut into blocks by id, and each two
+    blocks meet once.
+    """
+    blocks = classes.groupBy("label").agg(
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    cut = classes.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.join(sets, "id")
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "id", "copies", "packed",
+    )
+    names = ("label", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None  # rows (own, id, copies, set) of the two blocks at hand
+
+        def counted() -> pa.RecordBatch:
+            own, ids, copies, found = zip(*held)
+            own, copies, sizes = np.array(own), np.array(copies, dtype=np.int64), np.array([len(x) for x in found])
+            first, second = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
+            total = sizes[first][:, None] + sizes[second][None, :]
+            both = overlaps(found, first, second)
+            good = 100 * both >= percent * (total - both)
+            links = np.zeros(len(ids), dtype=np.int64)
+            if at[1] == at[2]:
+                np.fill_diagonal(good, False)
+            else:
+                links[second] = copies[first] @ good
+            links[first] = good @ copies[second]
+            some = links > 0
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[some]), pa.array(links[some])], names=["id", "links"])
+
+        for batch in batches:
+            for part in tables([batch], BATCH_BYTES // 4):
+                columns = [part.column(c).to_pylist() for c in (*names, "own", "id", "copies", "packed")]
+                for *place, own, number, copies, packed in zip(*columns):
+                    if place != at:
+                        if held:
+                            yield counted()
+                        held, at = [], place
+                    held.append((own, number, copies, shingles(zstandard.decompress(packed).decode(), n)))
+        if held:
+            yield counted()
+
+    tiled = dealt.repartition(*names).sortWithinPartitions(*names)
+    return tiled.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def near_duplicates(
-    documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text",
+    documents: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", count_links: bool = True,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     Words are runs without ASCII white space, A-Z lower-cased. Sets of ``n``-word shingles link when
     100 * intersection >= ``percent`` * union. component_id is the least doc_id of the component.
-    n_links counts the documents of equal sets (the document itself aside) and, for classes that were
-    compared, is no less than one per spanning link; it is a lower bound inside large components.
+    n_links counts all other documents that a document links with, those of equal sets included; without
+    ``count_links`` the column is left out, for callers that only need components.
     Null and wordless texts have no shingles and stand alone; so do rows without doc_id, whose
     component_id is null unless an equal text has one. Repeated rows are equal texts. An empty table
     gives none; other columns are ignored. Sets are told apart by 64-bit hashes.
@@ -390,19 +468,21 @@ def near_duplicates(
     links = first.union(second)
     labels = components(links)
 
-    degrees = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = staged(named, "named")
     least = named.where("id IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    copies = named.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("copies"))
-    per_class = copies.join(degrees, "id", "left").select(
+    result = named.join(least, "label", "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "id"
+    )
+    if not count_links:
+        return staged.result(result.drop("id"), "components")
+    copies = named.where("id IS NOT NULL").groupBy("id", "size").agg(F.count("*").alias("copies"))
+    copies = staged(copies, "copies")
+    linked = staged(degrees(labels.join(copies, "id"), sets, n, percent), "degrees")
+    per_class = copies.join(linked, "id", "left").select(
         F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("found")
     )
-    result = (
-        named.join(least, "label", "left").join(per_class, F.col("id") == F.col("class_id"), "left")
-        .select(
-            "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"),
-            F.coalesce("found", F.lit(0)).alias("n_links"),
-        )
+    result = result.join(per_class, F.col("id") == F.col("class_id"), "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("found", F.lit(0)).alias("n_links")
     )
     return staged.result(result, "components")

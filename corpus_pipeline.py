@@ -41,7 +41,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id; rows that repeat once."""
     rows = keyed(docs)
-    found = jaccard.near_duplicates(rows.select("_key", "text"), n=5, percent=80, doc_id="_key")
+    found = jaccard.near_duplicates(rows.select("_key", "text"), n=5, percent=80, doc_id="_key", count_links=False)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     chosen = rows.join(kept, "_key", "left_semi").withColumn("_hash", F.xxhash64("text"))
     return chosen.dropDuplicates(["_key", "_hash"]).select(*docs.columns)

@@ -79,6 +79,30 @@ def test_near_duplicates(spark, monkeypatch, n, percent, tile, frequent):
     assert ordered(map(tuple, got)) == ordered(plain_components(docs, n, percent))
 
 
+def plain_links(docs, n, percent):
+    sets = []
+    for _, text in docs:
+        words = (text or "").encode().lower().split()
+        k = min(n, len(words))
+        sets.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set())
+    return [
+        (d, sum(bool(a and b) and i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)))
+        for i, ((d, _), a) in enumerate(zip(docs, sets))
+    ]
+
+
+@pytest.mark.parametrize("tile, columns", [(1000, 4096), (3, 7)])
+def test_links_are_all_counted(spark, monkeypatch, tile, columns):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    base = prose(41, 120).split()
+    group = [(2000 + i, " ".join(base[: 8 * i] + [f"w{i}"] + base[8 * i + 1 :])) for i in range(14)]
+    docs = near_docs() + group + [(2100 + i, group[3][1]) for i in range(3)]  # copies count with every link
+    got = [(r.doc_id, r.n_links) for r in jaccard.near_duplicates(frame(spark, docs), 4, 85).collect()]
+    want = plain_links(docs, 4, 85)
+    assert ordered(got) == ordered(want) and max(n for _, n in want) >= 16
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard.near_duplicates(frame(spark, [(1, "a")]).limit(0)).count() == 0
     with pytest.raises(ValueError):
