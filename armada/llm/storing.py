@@ -141,7 +141,8 @@ class Encoder:
     def plain(word: str) -> tuple[str, str]:
         """The word and its last sign apart, and in lower case, where that is sure to change no id."""
         sign = ""
-        if word[-1:] in (",", ".") and len(word) > 1 and word[-2].isalpha() and word[-2] < LATIN_END:
+        # In lower case U+0130 ends in a mark, no letter, and the library keeps that and the sign together.
+        if word[-1:] in (",", ".") and len(word) > 1 and word[-2].lower().isalpha() and word[-2] < LATIN_END:
             word, sign = word[:-1], word[-1]
         if word.isascii() and "<" not in word:
             word = word.lower()

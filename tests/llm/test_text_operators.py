@@ -137,6 +137,14 @@ def test_token_files_round_trip(spark, tmp_path):
         start += row[2]
 
 
+def test_signs_after_any_letter_are_cut_as_the_library_does():
+    library, made = Tokenizer.from_file(WORDS), storing.Encoder(WORDS)
+    letters = [chr(c) for c in range(ord(storing.LATIN_END)) if chr(c).isalpha()]
+    texts = [f"{stem}{c}{sign} GAZETESİ." for c in letters for stem in ("", "GAZETES", "a") for sign in (",", ".")]
+    for text, ids in zip(texts, made(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     storing.write_tokens(frame(spark, [(1, "a")]).limit(0), WORDS, str(tmp_path / "none"))
     assert storing.token_digests(spark, str(tmp_path / "none")).count() == 0
