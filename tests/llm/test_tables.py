@@ -100,6 +100,17 @@ def test_main_text(spark):
     assert extraction.extracted(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("body", [
+    "<body class='has-sidebar'><p>Kept</p></body>", "<body class='no-sidebar search'><p>Kept</p></body>",
+    "<body><article class='post comments-open'><p>Kept</p></article></body>",
+    "<body><div class='with-header content'><p>Kept</p></div></body>",
+    "<body><div class='header'><main id='search'><p>Kept</p><div class='post-comments'>c</div></main></div></body>",
+    "<body><p>Kept</p><div class='cookie-notice'>n</div><div class='sidebar-left'>s</div><div id='comments'>c</div></body>",
+])
+def test_marks_do_not_lose_the_main_text(body):
+    assert extraction.main_text(f"<html class='no-menu'>{body}</html>", set()) == "Kept"
+
+
 INSULTS = ["zorgwit", "blakfen", "mupdolt"]
 
 
