@@ -111,6 +111,11 @@ def test_marks_do_not_lose_the_main_text(body):
     assert extraction.main_text(f"<html class='no-menu'>{body}</html>", set()) == "Kept"
 
 
+def test_numbered_marks_leave_the_paths_alike():
+    first, second = ([t[1] for t in extraction.tokens(f"<body class='post postid-{i}'><p>x</p></body>")] for i in (1, 2))
+    assert first == second
+
+
 INSULTS = ["zorgwit", "blakfen", "mupdolt"]
 
 
