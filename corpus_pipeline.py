@@ -40,19 +40,21 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the document with the least id; rows that repeat once."""
-    rows = keyed(docs)
-    found = jaccard.near_duplicates(rows.select("_key", "text"), n=5, percent=80, doc_id="_key", count_links=False)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    chosen = rows.join(kept, "_key", "left_semi").withColumn("_hash", F.xxhash64("text"))
+    rows = keyed(docs).withColumn("_hash", F.xxhash64("text"))  # an id may have several texts, judged apart
+    pairs = rows.select(F.struct("_key", "_hash").alias("_own"), "text")
+    found = jaccard.near_duplicates(pairs, n=5, percent=80, doc_id="_own", count_links=False)
+    kept = found.where("doc_id = component_id").select("doc_id._key", "doc_id._hash").distinct()
+    chosen = rows.join(kept, ["_key", "_hash"], "left_semi")
     return chosen.dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    rows = keyed(docs)
-    found = decontaminate.contamination(rows.select("_key", "text"), read(spark, sf_dir, "benchmark"), doc_id="_key")
-    bad = staged(found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
+    rows = keyed(docs).withColumn("_hash", F.xxhash64("text"))
+    pairs = rows.select(F.struct("_key", "_hash").alias("_own"), "text")
+    found = decontaminate.contamination(pairs, read(spark, sf_dir, "benchmark"), doc_id="_own")
+    bad = staged(found.where("contaminated").select("doc_id._key", "doc_id._hash").distinct(), "contaminated")
+    return rows.join(bad, ["_key", "_hash"], "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,3 +184,14 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, folder)
     assert ordered((r.doc_id,) for r in final.collect()) == ordered((d,) for d, _ in stages["mixing"])
     assert lower("AÄ") == "aÄ" and final.agg(F.sum("n_tokens")).first()[0] > total
+
+
+def test_pipeline_judges_texts_of_one_id_apart(spark, tmp_path):
+    folder, passage, text = str(tmp_path), prose(6000, 20), prose(1, 60)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(folder + "/benchmark.parquet")
+    docs = [(1, text), (2, text + " end"), (2, prose(2, 60)), (3, prose(3, 60)), (3, prose(4, 20) + " " + passage)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    once = corpus_pipeline.one_of_each(spark, table, folder)
+    assert sorted(map(tuple, once.collect())) == sorted(d for d in docs if d != docs[1])
+    clean = corpus_pipeline.not_in_benchmark(spark, table, folder)
+    assert sorted(map(tuple, clean.collect())) == sorted(docs[:4])
