@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from armada.llm import counting, decontaminate, extraction, jaccard, mixing, quality, repeats, storing, toxicity, urls
+from armada.llm import alignment, counting, decontaminate, extraction, jaccard, mixing, quality, repeats, storing, toxicity, urls
 from armada.llm.common import read
 
 
@@ -50,11 +50,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment(read(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op5_repeated_bytes,
         op6_mix_sources, op7_decontaminate, op8_html_extraction, op9_toxicity, op10_url_filters,
+        op11_cross_tokenizer_alignment,
     )
 }
 
