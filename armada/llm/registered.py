@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from armada.llm import alignment, counting, decontaminate, extraction, jaccard, mixing, quality, repeats, storing, toxicity, urls
+from armada.llm import alignment, counting, decontaminate, extraction, jaccard, licenses, mixing, negatives, quality, repeats, storing, toxicity, urls
 from armada.llm.common import read
 
 
@@ -55,13 +56,23 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment(read(spark, sf_dir, "documents"), *paths)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_ngram_jaccard, op3_token_files, op4_quality_rules, op5_repeated_bytes,
         op6_mix_sources, op7_decontaminate, op8_html_extraction, op9_toxicity, op10_url_filters,
-        op11_cross_tokenizer_alignment,
+        op11_cross_tokenizer_alignment, op12_hard_negatives, op13_license_scans,
     )
 }
 
-ORACLES = {"op6_mix_sources": mixing.SQL, "op10_url_filters": urls.SQL}
+ORACLES = {"op6_mix_sources": mixing.SQL, "op10_url_filters": urls.SQL, "op12_hard_negatives": negatives.SQL}
