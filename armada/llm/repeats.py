@@ -1,9 +1,9 @@
 """Removal of byte strings that occur earlier, by threshold-bounded interval expansion.
 
-Two equal strings of LENGTH bytes hold the same anchors: of each 69 neighbouring 32-byte hashes the
-least is one. Anchors are sorted by hash and context (all strings of LENGTH bytes that hold the anchor).
-Equal contexts are settled there: all but the earliest are repeats as a whole. Contexts that share an
-anchor but differ meet in one bucket, where a Burrows-Wheeler transform of them is extended backwards,
+Every string of LENGTH bytes has one anchor: the least of its 69 hashes of 32 bytes, the leftmost of
+equal ones, so equal strings have equal anchors at the same place. Strings side by side with one anchor
+are its context. Anchors are sorted by hash and context; equal contexts are settled there: all but the
+earliest are repeats as a whole. Contexts that share an anchor but differ meet in one bucket, where a Burrows-Wheeler transform of them is extended backwards,
 breadth first: level by level it yields which neighbours of the suffix order differ within the first
 l bytes, for l = 1, 2, ... up to LENGTH, where it stops. What is then still together shares LENGTH bytes,
 and all but the earliest are repeats.
@@ -28,11 +28,13 @@ from armada.llm.common import mixed, staged, tables
 
 LENGTH = 100
 ANCHOR = 32
-REACH = LENGTH - ANCHOR  # bytes around an anchor that strings with it may take in
+REACH = LENGTH - ANCHOR  # one less than the hashes of a string
 MOST_CONTEXTS = 400  # different contexts of an anchor that meet in one bucket
 BUCKET_BYTES = 1_000_000
 BATCH_BYTES = 4_000_000
 
+ANCHORED = ("hash", "context", "doc", "tag", "begin", "strings")
+
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -49,63 +51,56 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
     return found
 
 
-def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` (minimum or maximum) of each ``width`` neighbouring values."""
-    done = 1
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of each ``width`` neighbouring values, the leftmost of equal ones."""
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[a] <= values[b], a, b)
+
+    places, done = np.arange(len(values), dtype=np.int32), 1
     while done * 2 <= width:
-        values = pick(values[:-done], values[done:])
+        places = lesser(places[:-done], places[done:])
         done *= 2
     rest = width - done
-    return pick(values[:-rest], values[rest:]) if rest else values
+    return lesser(places[:-rest], places[rest:]) if rest else places
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes that are least in some window of REACH + 1 places."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of strings with one anchor: first string, number of strings, anchor and its hash."""
     hashes = anchor_hashes(data)
-    least = sliding(hashes, REACH + 1, np.minimum)
-    edge = np.zeros(REACH, dtype=np.uint64)
-    most = sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum)
-    places = np.flatnonzero(most == hashes)
-    return places, hashes[places]
-
-
-def context(place: int, size: int) -> tuple[int, int]:
-    return max(0, place - REACH), min(size, place + LENGTH)
+    own = leftmost_least(hashes, REACH + 1)
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return begins, np.diff(begins, append=len(own)), own[begins], hashes[own[begins]]
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """Rows (hash, context, doc, place) of all anchors; place holds the tag of the text above 32 bits."""
+    """Rows (hash, context, doc, tag, begin, strings) of all anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES):
-            hashes, contexts, docs, places = [], [], [], []
+            found: list[list[np.ndarray]] = [[] for _ in ANCHORED]
             for text, doc, tag in zip(*(batch.column(n).to_pylist() for n in ("text", "doc", "tag"))):
                 raw = text.encode()
                 if len(raw) < LENGTH:
                     continue
-                at, found = anchors(np.frombuffer(raw, np.uint8))
-                top = tag << 32
-                own = []
-                for place in at.tolist():
-                    begin, end = context(place, len(raw))
-                    own.append(xxhash.xxh64_intdigest(raw[begin:end], seed=place - begin) - (1 << 63))
-                hashes.append(found.view(np.int64))
-                contexts.append(np.array(own, dtype=np.int64))
-                docs.append(np.full(len(at), doc, dtype=np.int64))
-                places.append(at + top)
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (hashes, contexts, docs, places)],
-                    names=["hash", "context", "doc", "place"],
-                )
+                begins, strings, places, hashes = anchors(np.frombuffer(raw, np.uint8))
+                own = [
+                    xxhash.xxh64_intdigest(raw[begin:end], seed=seed) - (1 << 63)
+                    for begin, end, seed in zip(begins.tolist(), (begins + strings + (LENGTH - 1)).tolist(), (places - begins).tolist())
+                ]
+                same = [np.full(len(begins), x, dtype=np.int64) for x in (doc, tag)]
+                for column, values in zip(found, (hashes.view(np.int64), np.array(own, dtype=np.int64), *same, begins, strings)):
+                    column.append(values)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=list(ANCHORED))
 
-    return texts.mapInArrow(run, "hash long, context long, doc long, place long")
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in ANCHORED))
 
 
 def settled(rows: DataFrame) -> DataFrame:
     """Rows with ``kind``: 1 repeats an earlier equal context as a whole, 0 may share more.
 
-    Ranges are cut by hash, context, doc and place, so no anchor is too frequent for one task. The first
+    Ranges are cut by hash, context, doc, tag and begin, so no anchor is too frequent for one task. The first
     row of a context in each range stays open; anchors seen once, away from the edges, are left out.
     """
 
@@ -119,7 +114,7 @@ def settled(rows: DataFrame) -> DataFrame:
             h, c = rows["hash"], rows["context"]
             up = np.concatenate([[before is not None and before[0] == h[0]], h[1:] == h[:-1]])
             repeat = np.concatenate([[before is not None and before[:2] == (h[0], c[0])], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
-            own = np.stack([rows["doc"], rows["place"]])
+            own = np.stack([rows[n] for n in ("doc", "tag", "begin")])
             equal = repeat & np.concatenate([[before is not None and before[2] == tuple(own[:, 0])], (own[:, 1:] == own[:, :-1]).all(axis=0)])
             down = np.concatenate([up[1:], [last]])
             choose = up | down
@@ -130,26 +125,25 @@ def settled(rows: DataFrame) -> DataFrame:
             choose &= ~equal  # the same row again
             before, opening = (h[-1], c[-1], tuple(own[:, -1])), False
             return pa.RecordBatch.from_arrays(
-                [pa.array(rows[n][choose]) for n in ("hash", "context", "doc", "place")] + [pa.array(repeat[choose].astype(np.int32))],
-                names=["hash", "context", "doc", "place", "kind"],
+                [pa.array(rows[n][choose]) for n in ANCHORED] + [pa.array(repeat[choose].astype(np.int32))],
+                names=[*ANCHORED, "kind"],
             )
 
-        names = ("hash", "context", "doc", "place")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {n: batch.column(n).to_numpy() for n in names}
+            new = {n: batch.column(n).to_numpy() for n in ANCHORED}
             if held is not None:
-                new = {n: np.concatenate([held[n], new[n]]) for n in names}
+                new = {n: np.concatenate([held[n], new[n]]) for n in ANCHORED}
             if len(new["hash"]) > 1:
                 yield kept({n: v[:-1] for n, v in new.items()}, bool(new["hash"][-1] == new["hash"][-2]))
             held = {n: v[-1:] for n, v in new.items()}
         if held is not None:
             yield kept(held, True)
 
-    order = ("hash", "context", "doc", "place")
+    order = ("hash", "context", "doc", "tag", "begin")
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(run, "hash long, context long, doc long, place long, kind int")
+    return ranged.mapInArrow(run, ", ".join(f"{n} long" for n in ANCHORED) + ", kind int")
 
 
 def same_strings(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,14 +198,13 @@ def same_strings(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray,
     return owner[whole], inside[whole], classes[whole]
 
 
-def later(doc: np.ndarray, place: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Marks all but the earliest (doc, place) of each class; equal places are one."""
-    order = np.lexsort((place, doc, classes))
-    doc, place, classes = doc[order], place[order], classes[order]
-    starts = np.concatenate([[True], classes[1:] != classes[:-1]]) if len(order) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+def later(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Marks all but the earliest (doc, tag, place) of each class; equal places are one."""
+    order = np.lexsort((place, tag, doc, classes))
+    starts = np.append(True, classes[order[1:]] != classes[order[:-1]])[: len(order)]
+    lead = order[np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))]
     marks = np.empty(len(order), dtype=bool)
-    marks[order] = (doc != doc[lead]) | (place != place[lead])
+    marks[order] = np.any([x[order] != x[lead] for x in (doc, tag, place)], axis=0)
     return marks
 
 
@@ -249,7 +242,7 @@ def compared(contexts: DataFrame) -> DataFrame:
             doc = np.array([r[1] for r in rows], dtype=np.int64)[owner]
             tag = np.array([r[2] for r in rows], dtype=np.int64)[owner]
             place = np.array([r[3] for r in rows], dtype=np.int64)[owner] + inside
-            marks = later(doc, place + (tag << 32), classes)
+            marks = later(doc, tag, place, classes)
             return _spans(*runs(doc[marks], tag[marks], place[marks]))
 
         for batch in batches:
@@ -343,15 +336,16 @@ def cut_contexts(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
             for doc, tag, stored, found in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "packed", "found"))):
                 raw = zstandard.decompress(stored)
                 for row in found:
-                    begin, end = context(row["place"], len(raw))
-                    for column, value in zip(out, (row["hash"], row["contexts"], doc, tag, begin, raw[begin:end])):
+                    begin = row["begin"]
+                    data = raw[begin : begin + row["strings"] + LENGTH - 1]
+                    for column, value in zip(out, (row["hash"], row["contexts"], doc, tag, begin, data)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.binary())],
                 names=["hash", "contexts", "doc", "tag", "begin", "bytes"],
             )
 
-    per_text = open_rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("hash", "place", "contexts")).alias("found"))
+    per_text = open_rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("hash", "begin", "strings", "contexts")).alias("found"))
     joined = texts.join(per_text, ["doc", "tag"]).select("doc", "tag", "packed", "found")
     return joined.mapInArrow(run, "hash long, contexts long, doc long, tag long, begin long, bytes binary")
 
@@ -366,7 +360,7 @@ def removed(spans: DataFrame, texts: DataFrame) -> DataFrame:
             for doc, tag, stored, found in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "packed", "found"))):
                 raw = zstandard.decompress(stored)
                 merged: list[list[int]] = []
-                for begin, end in sorted((max(0, s["begin"]), min(len(raw), s["end"])) for s in found):
+                for begin, end in sorted((s["begin"], s["end"]) for s in found):
                     if merged and begin <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], end)
                     else:
@@ -397,24 +391,23 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)))
+    # A hash of the text tells rows of one id apart; its sign puts those without id after all others.
+    sign = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(-(1 << 63)))
+    rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)).bitwiseOR(sign))
     long_rows = rows.where(F.octet_length("text") >= LENGTH)
     found = staged(anchored(long_rows.select("text", "doc", "tag")), "found-anchors")
     marked = staged(settled(found), "anchors")
 
-    least = marked.where("kind = 0").groupBy("hash", "context").agg(
-        F.min(F.struct("doc", "place")).alias("least"), F.count("*").alias("n")
-    )
+    place = F.struct("doc", "tag", "begin", "strings")
+    least = marked.where("kind = 0").groupBy("hash", "context").agg(F.min(place).alias("least"), F.count("*").alias("n"))
     least = staged(least, "contexts")
     counts = least.groupBy("hash").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    open_rows = least.join(counts, "hash").select("hash", "least.doc", "least.place", "contexts")
+    open_rows = least.join(counts, "hash").select("hash", "least.*", "contexts")
     others = marked.where("kind = 0").join(
         least.where("n > 1").select("hash", "context", "least"), ["hash", "context"]
-    ).where((F.col("doc") != F.col("least.doc")) | (F.col("place") != F.col("least.place")))
-    whole = marked.where("kind = 1").select("doc", "place").union(others.select("doc", "place"))
-    tag, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    whole = whole.select("doc", tag.alias("tag"), (at - REACH).alias("begin"), (at + LENGTH).alias("end"))
-    open_rows = open_rows.select("hash", "doc", tag.alias("tag"), at.alias("place"), "contexts")
+    ).where(place != F.col("least"))
+    repeated = ("doc", "tag", "begin", (F.col("begin") + F.col("strings") + (LENGTH - 1)).alias("end"))
+    whole = marked.where("kind = 1").select(*repeated).union(others.select(*repeated))
 
     stored = packed(long_rows)
     cut = staged(cut_contexts(open_rows, stored), "open")
