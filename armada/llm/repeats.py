@@ -33,6 +33,7 @@ MOST_CONTEXTS = 400  # different contexts of an anchor that meet in one bucket
 BUCKET_BYTES = 1_000_000
 BATCH_BYTES = 4_000_000
 
+DIGESTED = ("high", "low", "doc", "tag", "context", "place")
 ANCHORED = ("hash", "context", "doc", "tag", "begin", "strings")
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -301,16 +302,16 @@ def digested(contexts: DataFrame) -> DataFrame:
                 high, low = (window_digests(rows, seed).view(np.int64).ravel() for seed in (1, 2))
                 doc, tag, begin = (np.repeat(n[same], strings) for n in named)
                 place = begin + np.tile(np.arange(strings), len(same))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (high, low, doc, tag, place)], names=["high", "low", "doc", "tag", "place"]
-                )
-
-    strings = staged(contexts.mapInArrow(run, "high long, low long, doc long, tag long, place long"), "strings")
-    least = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "place")).alias("least"), F.count("*").alias("n"))
-    found = strings.join(least.where("n > 1"), ["high", "low"]).where(
-        F.struct("doc", "tag", "place") != F.col("least")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high, low, doc, tag, begin, place)], names=list(DIGESTED))
+
+    strings = staged(contexts.mapInArrow(run, ", ".join(f"{n} long" for n in DIGESTED)), "strings")
+    least = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "place")).alias("least"))
+    later = F.when(F.struct("doc", "tag", "place") != F.col("least"), F.col("place"))
+    # Strings of one context overlap, so what is repeated of it is one span.
+    spans = strings.join(least, ["high", "low"]).groupBy("doc", "tag", "context").agg(
+        F.min(later).alias("begin"), (F.max(later) + LENGTH).alias("end")
     )
-    return found.select("doc", "tag", F.col("place").alias("begin"), (F.col("place") + LENGTH).alias("end"))
+    return spans.where("begin IS NOT NULL").select("doc", "tag", "begin", "end")
 
 
 def packed(texts: DataFrame) -> DataFrame:
