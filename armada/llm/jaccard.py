@@ -6,16 +6,14 @@ shingles. The order puts shingles of rare words first and shingles found in many
 bounded sample shows them; it decides how many keys are shared by chance, not what is found. Rows of a key are a tile, ordered by size, and only
 pairs inside the size band can match.
 
-Two passes keep large groups of near copies linear. The first compares neighbours of each tile only
-and joins what matches to components. The second takes tiles that still hold two components, cuts
-long ones into blocks, and compares all pairs across components inside the band: a 256-bit parity
+Three passes keep large groups of near copies linear in rows. The first compares neighbours of each tile
+only and joins what is LOOSE or more alike to groups. The second takes tiles that still hold two groups,
+cuts long ones into blocks, and compares all pairs across groups inside the band: a 256-bit parity
 signature gives a lower bound on the elements not shared, hence an upper bound on the overlap, and
-what may still match is settled by intersecting the sorted arrays. So no link between different
-components is missed, and pairs inside a component found already cost nothing.
-
-Links are counted afterwards: every link is inside a component, so the classes of each component are
-cut into blocks, each two blocks meet once, and all their overlaps come from one product of matrices.
-A task gives sums per class, so the pairs of a group are never rows.
+what may still match is settled by intersecting the sorted arrays. What matches joins groups, so every
+link is inside one group. The third cuts the classes of each group into blocks; each two blocks meet
+once, and all their overlaps come from one product of matrices. Of a block come, for each class, its
+number of links and one class that it is connected with, so the pairs of a group are never rows.
 """
 
 from __future__ import annotations
@@ -42,6 +40,7 @@ TILE = 1000  # rows of one block of a tile
 BATCH_BYTES = 4_000_000
 MOST_WORDS = 200_000
 BLOCK_SHINGLES = 1_000_000  # shingles of one block of a component, about
+LOOSE = 50  # percent of likeness that makes neighbours of a tile one group
 COLUMNS = 4096  # shingles that are multiplied at a time
 
 
@@ -287,7 +286,7 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets, sorted arrays of hashes, are similar enough.
+    """Pairs (a, b) whose sets, sorted arrays of hashes, are ``percent`` alike.
 
     Compressed texts travel, as they are several times smaller than their sets.
     """
@@ -369,8 +368,21 @@ def overlaps(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> n
     return both.astype(np.int64)
 
 
-def degrees(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows (id, links): the documents of all other classes that are similar enough.
+def connected(good: np.ndarray, first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that each class is connected with, by links between the numbers ``first`` and ``second``."""
+    place = ids.copy()
+    most = np.iinfo(np.int64).max
+    while True:
+        before = place.copy()
+        place[first] = np.minimum(place[first], np.where(good, place[second], most).min(axis=1, initial=most))
+        place[second] = np.minimum(place[second], np.where(good, place[first][:, None], most).min(axis=0, initial=most))
+        if (place == before).all():
+            return place
+
+
+def linked(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (id, links, place) by block: the documents of all classes there that are similar enough, and the
+    least id that the class is connected with.
 
     Classes are (id, label, size, copies). The classes of a label are cut into blocks by id, and each two
     blocks meet once.
@@ -392,6 +404,7 @@ def degrees(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
         def counted() -> pa.RecordBatch:
             own, ids, copies, found = zip(*held)
             own, copies, sizes = np.array(own), np.array(copies, dtype=np.int64), np.array([len(x) for x in found])
+            ids = np.array(ids, dtype=np.int64)
             first, second = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
             total = sizes[first][:, None] + sizes[second][None, :]
             both = overlaps(found, first, second)
@@ -403,7 +416,10 @@ def degrees(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
                 links[second] = copies[first] @ good
             links[first] = good @ copies[second]
             some = links > 0
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[some]), pa.array(links[some])], names=["id", "links"])
+            place = connected(good, first, second, ids) if some.any() else ids
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x[some]) for x in (ids, links, place)], names=["id", "links", "place"]
+            )
 
         for batch in batches:
             for part in tables([batch], BATCH_BYTES // 4):
@@ -418,7 +434,7 @@ def degrees(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFr
             yield counted()
 
     tiled = dealt.repartition(*names).sortWithinPartitions(*names)
-    return tiled.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return tiled.mapInArrow(run, "id long, links long, place long")
 
 
 def near_duplicates(
@@ -453,20 +469,25 @@ def near_duplicates(
         .groupBy(F.least("id", "previous").alias("a"), F.greatest("id", "previous").alias("b"))
         .agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
     )
-    near = staged(bounded(near.select("a", "b"), signs, percent), "near")
+    near = staged(bounded(near.select("a", "b"), signs, LOOSE), "near")
 
-    first = staged(verified(near, sets, n, percent), "first-links")
-    labels = components(first)
+    first = staged(verified(near, sets, n, LOOSE), "first-links")
+    groups = components(first)
 
     shared = tiles.select("key", "size", "id").join(wanted, "id", "left_semi")
-    marked = staged(shared.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "marked")
+    marked = staged(shared.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id")), "marked")
     open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     left = staged(marked.join(open_keys, "key", "left_semi"), "open-tiles").join(signs.select("id", "bits"), "id")
     pairs = tile_pairs(left, percent).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
     pairs = staged(pairs.select("a", "b"), "pairs")
     second = staged(verified(pairs, sets, n, percent), "second-links")
-    links = first.union(second)
-    labels = components(links)
+    if not second.isEmpty():
+        groups = components(first.union(second))
+
+    copies = members.where("id IS NOT NULL").groupBy("id", "size").agg(F.count("*").alias("copies"))
+    copies = staged(copies, "copies")
+    found = staged(linked(groups.join(copies, "id"), sets, n, percent), "links")
+    labels = components(found.select(F.col("id").alias("a"), F.col("place").alias("b")))
 
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = staged(named, "named")
@@ -476,10 +497,8 @@ def near_duplicates(
     )
     if not count_links:
         return staged.result(result.drop("id"), "components")
-    copies = named.where("id IS NOT NULL").groupBy("id", "size").agg(F.count("*").alias("copies"))
-    copies = staged(copies, "copies")
-    linked = staged(degrees(labels.join(copies, "id"), sets, n, percent), "degrees")
-    per_class = copies.join(linked, "id", "left").select(
+    per_link = found.groupBy("id").agg(F.sum("links").alias("links"))
+    per_class = copies.join(per_link, "id", "left").select(
         F.col("id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("found")
     )
     result = result.join(per_class, F.col("id") == F.col("class_id"), "left").select(
