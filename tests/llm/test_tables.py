@@ -155,6 +155,12 @@ def test_components_of_a_chain(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_a_chain_along_the_ids_settles(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+    found = components.components(links).collect()
+    assert len(found) == 401 and len({r.label for r in found}) == 1
+
+
 def test_pipeline(spark, tmp_path):
     docs = toxic_docs()
     items = [(i, prose(5000 + i, 20)) for i in range(3)]
