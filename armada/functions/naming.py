@@ -19,14 +19,44 @@ def job_name(cluster: Column, version: Column) -> Column:
     )
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty and ``.`` segments, each ``..`` taking away the segment before it.
+
+    Segments are folded onto a stack. Above the root of an absolute path ``..`` goes nowhere; of a relative
+    one it stays in front. Nothing left is ``/`` or ``.``. A null path is null.
+    """
+    absolute = path.startswith("/")
+    none = F.array().cast("array<string>")
+
+    def push(stack: Column, segment: Column) -> Column:
+        top = F.try_element_at(stack, F.lit(-1))
+        last = F.coalesce(top, F.lit(".."))
+        up = F.when(last != "..", F.slice(stack, F.lit(1), F.size(stack) - 1)).when(absolute, stack)
+        return (
+            F.when(segment.isin("", "."), stack)
+            .when(segment == "..", up.otherwise(F.concat(stack, F.array(segment))))
+            .otherwise(F.concat(stack, F.array(segment)))
+        )
+
+    joined = F.array_join(F.aggregate(F.split(path, "/", -1), none, push), "/")
+    whole = F.when(absolute, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+    return F.when(path.isNotNull(), whole)
+
+
 def content_path(mount: Column | str, folder: Column) -> Column:
     """where a synced folder appears below its mount.
 
-    The folder is joined below the link to the current revision. Repeated slashes, ``.`` segments
-    and a trailing slash go; that covers a leading slash too. ``..`` is not resolved.
+    The folder is joined below the link to the current revision and the whole path is cleaned, so ``..`` may
+    lead out of the link, and out of the mount: ``escapes_mount`` tells. A null folder is the link itself.
     """
-    joined = F.concat_ws("/", _text(mount), F.lit(values.LINK_NAME), folder)
-    return F.regexp_replace(joined, r"(?:/\.?)+(?=/|$)", "")
+    return clean_path(F.concat_ws("/", _text(mount), F.lit(values.LINK_NAME), folder))
+
+
+def escapes_mount(mount: Column | str, folder: Column) -> Column:
+    """Whether the content path of a folder is no longer below its mount."""
+    base = clean_path(_text(mount))
+    path = content_path(mount, folder)
+    return ~((path == base) | path.startswith(F.concat(F.when(base == "/", "").otherwise(base), F.lit("/"))))
 
 
 def service_host(cluster: Column, namespace: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from queries.registry import ORACLES, QUERIES
 
-from queries import aggregates, configuration, decisions, events, jobs, lookups, streams  # noqa: F401
+from queries import (  # noqa: F401
+    aggregates, configuration, decisions, events, history, jobs, lookups, providers, streams,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

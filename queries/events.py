@@ -5,7 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from armada.operators import components, upkeep
+from armada.operators.tables import apply_table_component, register_component
 from armada.session import new_path
+from armada.sources.layout import files_touched, write_curve
 from armada.sources.segments import write_rolled
 from armada.streaming.rollover import rollover_segments
 from armada.streaming.snapshots import snapshot_last
@@ -110,3 +112,59 @@ def apply_component(spark, sf):
     components.ship(spark, COMPONENT)
     done = components.apply_component(turns, "text", "measure_component:Measure")
     return done.select("conv_id", "turn", "processed")
+
+
+def curve_table(spark, sf):
+    """The events laid out over four fields."""
+    path = new_path(spark, "curve")
+    write_curve(table(spark, sf, "events"), path, ["event_type", "user_id", "ts", "value"], 32)
+    return spark.read.parquet(path)
+
+
+@query("p15_curve_search", "SELECT * FROM events WHERE user_id = 7")
+def curve_search(spark, sf):
+    return upkeep.event_search(curve_table(spark, sf), user_id=7)
+
+
+@query(
+    "p15_curve_pruning",
+    "SELECT * FROM (VALUES ('event_type', TRUE), ('user_id', TRUE), ('value', TRUE)) t(field, skips_a_third)",
+)
+def curve_pruning(spark, sf):
+    """Of a search by each field, whether the files' statistics leave at most two thirds to read."""
+    laid = curve_table(spark, sf)
+    middle = laid.agg(F.percentile_approx("value", 0.5).alias("v"), F.max("user_id").alias("u")).first()
+    asked = {"event_type": F.lit("error"), "user_id": F.lit(middle["u"] // 2), "value": F.lit(middle["v"])}
+    found = None
+    for field, value in asked.items():
+        row = files_touched(laid, field, value).select(
+            F.lit(field).alias("field"), (F.col("touched") * 3 <= F.col("files") * 2).alias("skips_a_third")
+        )
+        found = row if found is None else found.union(row)
+    return found
+
+
+class TurnGaps:
+    """Per conversation, in order of turns: length so far, and a closing row with the number of turns."""
+
+    def __init__(self):
+        self.turns, self.length, self.key = 0, 0, None
+
+    def process(self, row):
+        self.turns, self.length, self.key = self.turns + 1, self.length + len(row["text"] or ""), row["conv_id"]
+        return [(self.key, row["turn"], self.length)]
+
+    def finish(self):
+        return [(self.key, -self.turns, self.length)] if self.turns else None
+
+
+@query(
+    "u2_table_component",
+    """SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS length FROM conversations
+    UNION ALL SELECT conv_id, -count(*), CAST(sum(length(text)) AS BIGINT) FROM conversations GROUP BY conv_id""",
+)
+def table_component(spark, sf):
+    """A component that keeps state over an ordered table and gives more rows than it takes."""
+    register_component(spark, "turn_lengths", TurnGaps, "conv_id bigint, turn bigint, length bigint")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return apply_table_component(turns, "turn_lengths", ["conv_id"], ["turn"])
