@@ -15,6 +15,12 @@ from armada.streaming.times import DELAY, with_event_time
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def alerts_of(key: tuple, times: list[int]) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"target": pd.Series([key[0]] * len(times), dtype="object"), "alert_at": pd.Series(times, dtype="int64")}
+    )
+
+
 class FailureRuns(StatefulProcessor):
     """Failures in a row of one target.
 
@@ -37,7 +43,7 @@ class FailureRuns(StatefulProcessor):
             if len(frame):
                 self.waiting.appendList([(int(a), int(t), bool(o)) for a, t, o in zip(frame["at"], frame["tie"], frame["ok"])])
                 self.handle.registerTimer(-(-int(frame["at"].min()) // 1000))
-        yield pd.DataFrame(columns=["target", "alert_at"])
+        yield alerts_of(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -64,7 +70,7 @@ class FailureRuns(StatefulProcessor):
                 self.handle.registerTimer(last // 1000 + self.quiet_ms + 2)
         elif self.run.exists():
             self.run.clear()
-        yield pd.DataFrame({"target": [key[0]] * len(alerts), "alert_at": alerts})
+        yield alerts_of(key, alerts)
 
     def close(self) -> None:
         pass
