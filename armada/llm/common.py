@@ -40,14 +40,18 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def result(self, df: DataFrame, label: str) -> DataFrame:
-        """Write the result to a table that stays, and remove the others."""
-        kept = staged(df, label)
+    def free(self, *labels: str) -> None:
+        """Remove the tables of these labels, of which nothing is read any more."""
         configuration = self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
+        for path in [p for p in self.paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in labels]:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(configuration).delete(place, True)
-        self.paths = []
+            self.paths.remove(path)
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        """Write the result to a table that stays, and remove the others."""
+        kept = staged(df, label)
+        self.free(*(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in self.paths))
         return kept
 
 

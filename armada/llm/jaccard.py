@@ -483,10 +483,12 @@ def near_duplicates(
     second = staged(verified(pairs, sets, n, percent), "second-links")
     if not second.isEmpty():
         groups = components(first.union(second))
+    staged.free("tiles", "wanted", "signatures", "near", "first-links", "marked", "open-tiles", "pairs", "second-links")
 
     copies = members.where("id IS NOT NULL").groupBy("id", "size").agg(F.count("*").alias("copies"))
     copies = staged(copies, "copies")
     found = staged(linked(groups.join(copies, "id"), sets, n, percent), "links")
+    staged.free("near-sets")
     labels = components(found.select(F.col("id").alias("a"), F.col("place").alias("b")))
 
     named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
