@@ -39,7 +39,7 @@ def rows(seed, count=400):
 SCHEMA = "log string, ts timestamp, id long, bytes int"
 
 
-@pytest.mark.parametrize("per_task, most", [(1_000_000, 40), (25, 40), (25, 1), (40, 10_000)])
+@pytest.mark.parametrize("per_task, most", [(1_000_000, 40), (60, 1), (40, 10_000)])
 def test_log_cut(spark, per_task, most):
     made = rows(most)
     table = spark.createDataFrame(made, SCHEMA).repartition(3)
