@@ -38,7 +38,7 @@ FREQUENT_WORD = 8  # times a word of the sample is found to be told from rare on
 WORDS_KNOWN = 50_000
 TILE = 1000  # rows of one block of a tile
 BATCH_BYTES = 4_000_000
-MOST_WORDS = 200_000
+MOST_WORDS = 100_000
 BLOCK_SHINGLES = 1_000_000  # shingles of one block of a component, about
 LOOSE = 50  # percent of likeness that makes neighbours of a tile one group
 COLUMNS = 4096  # shingles that are multiplied at a time

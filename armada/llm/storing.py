@@ -28,7 +28,7 @@ MAGIC = b"DAC1"
 DIRECTORY = 512
 SEGMENT_TOKENS = 1 << 20
 BATCH_BYTES = 4_000_000
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 LATIN_END = "\u0250"
 END_ID = 1
 
