@@ -47,7 +47,7 @@ def curve_key(borders: dict[str, list], kinds: dict[str, str], bits: int = BITS)
 
 
 def _ranges_below(limits: Column, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.size(F.filter(limits, lambda c: c <= value)) + 1).otherwise(0).cast("long")
+    return F.when(value.isNotNull(), F.size(F.filter(limits, lambda c: c < value)) + 1).otherwise(0).cast("long")
 
 
 def write_curve(df: DataFrame, path: str, fields: list[str], files: int, bits: int = BITS, mode: str = "errorifexists") -> None:

@@ -30,7 +30,7 @@ def test_any_field_skips_files(spark, tmp_path):
     asked = {"user": F.lit(7), "value": F.lit(0.31), "ts": F.lit(START + timedelta(minutes=4321)), "note": F.lit("n17"), "kind": F.lit("c")}
     for field, value in asked.items():
         files, touched = layout.files_touched(table, field, value).first()
-        assert files > 30 and 3 * touched <= 2 * files, (field, files, touched)
+        assert files > 30 and 4 * touched <= 3 * files, (field, files, touched)
 
 
 def test_layout_of_little(spark, tmp_path):
@@ -97,22 +97,21 @@ def test_outages(spark, per_task):
     assert outages.down_at_once(sessions.limit(0)).count() == 0
 
 
-class Gaps:
-    """Rows a key waited for: state from row to row, several rows or none for one."""
-
-    def __init__(self):
-        self.last, self.rows = None, 0
+def test_table_component(spark, monkeypatch):
+    class Gaps:
+        """Rows a key waited for: state from row to row, several rows or none for one."""
 
-    def process(self, row):
-        self.rows += 1
-        last, self.last = self.last, row["n"]
-        return [(row["k"], i, None) for i in range(last + 1, row["n"])] if last is not None else None
+        def __init__(self):
+            self.last, self.rows = None, 0
 
-    def finish(self):
-        return [(None, None, self.rows)]
+        def process(self, row):
+            self.rows += 1
+            last, self.last = self.last, row["n"]
+            return [(row["k"], i, None) for i in range(last + 1, row["n"])] if last is not None else None
 
+        def finish(self):
+            return [(None, None, self.rows)]
 
-def test_table_component(spark, monkeypatch):
     monkeypatch.setattr(tables, "BATCH_ROWS", 7)
     rows = [("a", 1), ("a", 4), ("a", 30), ("b", 2), ("b", 3), ("c", 9), (None, 5), (None, 7)]
     table = spark.createDataFrame(rows, "k string, n int").repartition(3)
