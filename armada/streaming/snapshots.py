@@ -75,10 +75,11 @@ def stream_health(
     ``expected`` is a table; of several rows of one cluster the greatest number counts. The window
     keeps one body per key; the verdict is then worked out inside the row, so no second aggregate
     follows. Clusters without a body in a window are not in it: ``with_silent`` adds them to closed
-    windows.
+    windows. The table is shuffled to the windows: a stream plans without measured sizes, and would broadcast
+    a table of any number of clusters whose files are small.
     """
     latest = F.max_by(body, F.struct(ts, tie)).alias(body)
     seen = with_event_time(bodies, ts, delay).groupBy(F.window(ts, every), cluster).agg(latest)
     flat = seen.select(F.col("window.start").alias("window_start"), cluster, body)
-    joined = flat.join(wanted_nodes(expected, cluster, wanted), cluster)
+    joined = flat.join(wanted_nodes(expected, cluster, wanted).hint("shuffle_merge"), cluster)
     return body_health(joined, body, wanted, ok).drop(body)
