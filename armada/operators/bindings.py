@@ -1,4 +1,8 @@
-"""Bindings whose values name other bindings of the same cluster."""
+"""Bindings whose values name other bindings of the same cluster.
+
+All joins here shuffle: the rows are many more than the files they come from let Spark expect (a cluster has
+any number of bindings), and a broadcast planned on that would put all of them in the memory of each task.
+"""
 
 from __future__ import annotations
 
@@ -33,10 +37,10 @@ def cycles(graph: DataFrame, cluster: str, name: str = "name") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         starts = paths.select(F.col(cluster).alias("_c"), F.col(name).alias("_n")).distinct()
         ends = paths.select(F.col(cluster).alias("_c"), F.col("other").alias("_n")).distinct()
-        inner = paths.join(starts, _same(cluster, F.col("other"), F.col("_n")), "left_semi")
-        inner = pin(inner.join(ends, _same(cluster, F.col(name), F.col("_n")), "left_semi"))
+        inner = paths.join(_shuffled(starts), _same(cluster, F.col("other"), F.col("_n")), "left_semi")
+        inner = pin(inner.join(_shuffled(ends), _same(cluster, F.col(name), F.col("_n")), "left_semi"))
         on = inner.select(F.col(cluster).alias("_c"), F.col(name).alias("_n"), F.col("other").alias("_to"))
-        longer = inner.join(on, _same(cluster, F.col("other"), F.col("_n"))).select(cluster, name, F.col("_to").alias("other"))
+        longer = inner.join(_shuffled(on), _same(cluster, F.col("other"), F.col("_n"))).select(cluster, name, F.col("_to").alias("other"))
         paths = pin(inner.union(longer).distinct())
         if paths.count() == inner.count():  # every way is known
             return paths.filter(F.col(name) == F.col("other")).select(cluster, name)
@@ -57,7 +61,7 @@ def resolve_bindings(bindings: DataFrame, cluster: str, order: list[str] | None
     one = pin(bindings.dropna("any", None, [cluster, name, value]).groupBy(cluster, name).agg(pick.alias(value)))
     names = one.select(F.col(cluster).alias("_c"), F.col(name).alias("_n"))
     graph = references(one, cluster, name, value)
-    bound = pin(graph.join(names, _same(cluster, F.col("other"), F.col("_n")), "left_semi"))
+    bound = pin(graph.join(_shuffled(names), _same(cluster, F.col("other"), F.col("_n")), "left_semi"))
 
     waiting = bound.select(cluster, name).distinct()
     settled = pin(one.join(_renamed(waiting, cluster, name), _same(cluster, F.col(name), F.col("_n")), "left_anti").withColumn("depth", F.lit(0)))
@@ -86,4 +90,8 @@ def resolve_bindings(bindings: DataFrame, cluster: str, order: list[str] | None
 
 
 def _renamed(rows: DataFrame, cluster: str, name: str) -> DataFrame:
-    return rows.select(F.col(cluster).alias("_c"), F.col(name).alias("_n"))
+    return _shuffled(rows.select(F.col(cluster).alias("_c"), F.col(name).alias("_n")))
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    return rows.hint("shuffle_merge")

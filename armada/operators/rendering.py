@@ -77,12 +77,12 @@ def expand_templates(
         (F.max_by(env_value, F.struct(*env_order)) if env_order else F.max(env_value)).alias("_value")
     )
     match = (F.col(cluster) == F.col("_cluster")) & (F.col("_name") == F.col("_env"))
-    found = used.join(bound, match).filter(F.col("_value").isNotNull())
+    found = used.join(bound.hint("shuffle_merge"), match).filter(F.col("_value").isNotNull())
     lookup = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("_name", "_value"))).alias("_bindings")
     )
     bindings = F.coalesce("_bindings", F.create_map().cast("map<string,string>"))
-    marked = files.join(lookup, keys, "left").withColumns(
+    marked = files.join(lookup.hint("shuffle_merge"), keys, "left").withColumns(
         {"_marks": _marks(body), "_bindings": bindings}
     )
     values = F.transform(

@@ -8,7 +8,7 @@ from armada.session import new_path
 from armada.sources import providers
 from armada.sources.synced import write_files
 from queries import fleet
-from queries.registry import query, table
+from queries.registry import dealt, query, table
 
 # Rows of the rule table: needs, place, kind, provider, class, pos, property, value.
 RULES = [
@@ -138,7 +138,7 @@ def nested_bindings(spark, sf):
         entry("SECRET", F.when(F.col("auto_generate"), F.col("key_secret"))), entry("ONE", F.when(F.col("tls"), mark("TWO"))),
         entry("TWO", F.when(F.col("tls"), mark("ONE"))), entry("THREE", F.when(F.col("tls"), "x" + mark("TWO"))),
     )
-    rows = fleet.clusters(spark, sf).select("cluster", F.inline(listed))
+    rows = dealt(fleet.clusters(spark, sf), "custkey").select("cluster", F.inline(listed))
     return bindings.resolve_bindings(rows, "cluster").drop("unresolved")
 
 

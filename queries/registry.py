@@ -34,3 +34,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def dealt(df: DataFrame, key: str, rows_per_task: int = 100_000) -> DataFrame:
+    """Rows dealt by a unique key to at least as many tasks as there are cores, and more for larger tables.
+
+    For tables whose rows become many: one row group, which arrives in one partition, may hold them all.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_per_task))
+    return df.repartition(tasks, key)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from armada.functions.naming import clean_path, content_path, escapes_mount
 from armada.operators.bindings import cycles, references, resolve_bindings
+from armada.session import pin
 
 
 def plain_clean(path):
@@ -68,3 +69,17 @@ def test_long_cycles_and_chains(spark):
     assert {(r.cluster, r.name) for r in cycles(graph, "cluster").collect()} == {("c", f"r{i}") for i in range(23)}
     none = spark.createDataFrame([], "cluster string, name string, value string")
     assert references(none, "cluster").count() == 0 and resolve_bindings(none, "cluster").count() == 0
+
+
+def test_bindings_are_never_broadcast(spark, monkeypatch):
+    # Spark expects few rows of these frames, for they come of small files; a broadcast would hold all of them in each task.
+    plans = []
+
+    def planned(frame):
+        plans.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return pin(frame)
+
+    monkeypatch.setattr("armada.operators.bindings.pin", planned)
+    table = spark.createDataFrame(ROWS, "cluster string, name string, value string")
+    plans.append(resolve_bindings(table, "cluster")._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
