@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ from armada.streaming.times import DELAY, with_event_time
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# A probe as it waits: a target's probes of a batch are one value of its state, for each value costs a call.
+PROBE = np.dtype([("at", "<i8"), ("tie", "<i8"), ("ok", "?")])
+
+
+def packed(frame: pd.DataFrame) -> bytes:
+    probes = np.empty(len(frame), PROBE)
+    for field in PROBE.names:
+        probes[field] = frame[field].astype(PROBE[field])
+    return probes.tobytes()
+
+
 def alerts_of(key: tuple, times: list[int]) -> pd.DataFrame:
     return pd.DataFrame(
         {"target": pd.Series([key[0]] * len(times), dtype="object"), "alert_at": pd.Series(times, dtype="int64")}
@@ -36,41 +48,42 @@ class FailureRuns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "failures long, last long")
-        self.waiting = handle.getListState("waiting", "at long, tie long, ok boolean")
+        self.waiting = handle.getListState("waiting", "probes binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             if len(frame):
-                self.waiting.appendList([(int(a), int(t), bool(o)) for a, t, o in zip(frame["at"], frame["tie"], frame["ok"])])
+                self.waiting.appendValue((packed(frame),))
                 self.handle.registerTimer(-(-int(frame["at"].min()) // 1000))
-        yield alerts_of(key, [])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        failures, last = self.run.get() if self.run.exists() else (0, None)
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= passed else later).append(tuple(row))
+        held = self.run.get()
+        failures, last = held or (0, None)
+        waiting = np.frombuffer(b"".join(bytes(row[0]) for row in self.waiting.get()), PROBE)
+        ready = waiting[waiting["at"] <= passed]
         alerts = []
-        for at, _, ok in sorted(ready):
+        for at, _, ok in np.sort(ready, order=PROBE.names).tolist():
             if self.quiet_ms is not None and last is not None and at - last > self.quiet_ms * 1000:
                 failures = 0
             failures, last = (0 if ok else failures + 1), at
             if failures == self.threshold:
                 alerts.append(at)
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(-(-min(later)[0] // 1000))
-        else:
+        if len(ready) < len(waiting):
+            later = waiting[waiting["at"] > passed]
+            self.waiting.put([(later.tobytes(),)])
+            self.handle.registerTimer(-(-int(later["at"].min()) // 1000))
+        elif len(waiting):
             self.waiting.clear()
         over = self.quiet_ms is not None and last is not None and last + self.quiet_ms * 1000 < passed
         if failures and not over:
             self.run.update((failures, last))
             if self.quiet_ms is not None:
                 self.handle.registerTimer(last // 1000 + self.quiet_ms + 2)
-        elif self.run.exists():
+        elif held is not None:
             self.run.clear()
-        yield alerts_of(key, alerts)
+        return iter([alerts_of(key, alerts)] if alerts else ())
 
     def close(self) -> None:
         pass

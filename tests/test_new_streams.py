@@ -4,6 +4,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from armada.session import new_path
 from armada.sources import synced
 from armada.streaming.heartbeats import expected_health, heartbeats
 from armada.streaming.running import drain
-from armada.streaming.stateful import state_alerts
+from armada.streaming.stateful import FailureRuns, state_alerts
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id int, ts timestamp, k string, ok boolean, body string"
@@ -69,6 +70,23 @@ def test_alerts_from_keyed_state(spark, tmp_path, quiet):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
 
 
+def test_probes_of_a_batch_are_one_value_of_state():
+    # What a target costs is its calls to the state store, so they must not grow with its probes.
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *values: calls.append((name, values)) or Store()
+
+    runs = FailureRuns(2, None)
+    runs.init(Store())
+    frame = pd.DataFrame({"at": [5000 - i for i in range(70)], "tie": range(70), "ok": [False] * 70})
+    calls.clear()
+    assert list(runs.handleInputRows(("k",), iter([frame]), None)) == []
+    assert [name for name, _ in calls] == ["appendValue", "registerTimer"] and calls[1][1] == (5,)
+    assert len(calls[0][1][0][0]) == 70 * 17
+
+
 def status(*states):
     nodes = ",".join(f'{{"address":"n{i}","status":"{s}"}}' for i, s in enumerate(states))
     return f'{{"cluster":{{"nodes":[{nodes}]}}}}'
