@@ -3,14 +3,18 @@
 Where a segment ends depends on where it began, so rows seem to have to be walked in sequence. But the
 row at which the next segment would begin, if one began here, follows from running sums alone: the
 first row that is late enough, or the first before which enough bytes have gone by. That gives every
-row a successor. The rows that can be reached from the first row of a log are where it is cut, and
-they are found by doubling: round k knows who is reached in less than 2^k cuts and where 2^k cuts lead.
+row a successor. The rows that can be reached from the first row of a log are where it is cut. They are
+found in blocks of rows first, and between blocks by doubling: round k knows who is reached in less than
+2^k steps and where 2^k steps lead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from armada import values
 from armada.operators.ordered import ROWS_PER_TASK, running, same_key
@@ -18,6 +22,9 @@ from armada.session import pin
 
 MOST_ROUNDS = 62
 
+# One row of arrays holds a block.
+ROWS_PER_BLOCK = 4_096
+
 
 def first_at_least(
     rows: DataFrame, log: list[str], number: str, value: Column, wanted: Column, out: str, rows_per_task: int
@@ -48,8 +55,8 @@ def successors(rows: DataFrame, log: list[str], ts: str, size: str, every: str,
     return late.join(named, match).select(*log, "_n", F.least("_late", "_full").alias("_next"))
 
 
-def reached(jumps: DataFrame, log: list[str]) -> DataFrame:
-    """Rows (log, _n) that are reached from row 1 of each log.
+def followed(jumps: DataFrame, log: list[str]) -> DataFrame:
+    """Rows (log, _n) that are reached from row 1 of each log, by doubling.
 
     Only rows that are reached already, or that something leads to, can matter later, so only their jumps are
     kept; they get fewer each round. The number of rounds is the logarithm of the most cuts of a log.
@@ -80,6 +87,77 @@ def reached(jumps: DataFrame, log: list[str]) -> DataFrame:
     raise RuntimeError("a log has more cuts than could be followed")
 
 
+def _landings(numbers: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block: the place in it that its jump leads to, its own where that is outside; and the last on its way."""
+    own = np.arange(len(numbers))
+    to = np.searchsorted(numbers, jumps)
+    inside = np.take(numbers, to, mode="clip") == jumps
+    step = np.where(inside, to, own)
+    last = step
+    while True:
+        further = last[last]
+        if np.array_equal(further, last):
+            return step, last
+        last = further
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _exits(numbers: pd.Series, jumps: pd.Series) -> pd.Series:
+    """Where the ways through a block come out, each row once."""
+    return pd.Series([np.unique(j[_landings(n, j)[1]]) for n, j in zip(numbers, jumps)])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _exits_of(numbers: pd.Series, jumps: pd.Series, entries: pd.Series) -> pd.Series:
+    """Where the way from each entry comes out."""
+    return pd.Series([j[_landings(n, j)[1][np.searchsorted(n, e)]] for n, j, e in zip(numbers, jumps, entries)])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _ways(numbers: pd.Series, jumps: pd.Series, entries: pd.Series) -> pd.Series:
+    """The rows on the ways from the entries to where they come out, these included."""
+    found = []
+    for n, j, e in zip(numbers, jumps, entries):
+        step = _landings(n, j)[0].tolist()
+        on: set[int] = set()
+        for at in np.searchsorted(n, e).tolist():
+            while at not in on:
+                on.add(at)
+                at = step[at]
+        found.append(j[sorted(on)])
+    return pd.Series(found)
+
+
+def reached(jumps: DataFrame, log: list[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Rows (log, _n) that are reached from row 1 of each log, row 1 left out.
+
+    A log is cut into blocks of consecutive rows. Jumps lead forward, so within a block they can be followed to
+    where they come out, and only rows where another block comes out can be entered: no more than the longest
+    segment has, however long the block. The ways between these entries are doubled; then the blocks are
+    followed again from the entries that are reached.
+    """
+    keys = [f"_b{i}" for i in range(len(log))]
+    block = F.floor((F.col("_n") - 1) / rows_per_block)
+    listed = F.array_sort(F.collect_list(F.struct("_n", "_next")))
+    blocks = jumps.filter("_next IS NOT NULL").groupBy(*log, block.alias("_block")).agg(listed.alias("_rows"))
+    blocks = pin(blocks.select(*log, "_block", F.col("_rows._n").alias("_numbers"), F.col("_rows._next").alias("_jumps")))
+    firsts = blocks.filter("_block = 0").select(*log, F.col("_numbers")[0].alias("_n")).filter("_n = 1")
+    exits = blocks.select(*log, F.explode(_exits("_numbers", "_jumps")).alias("_n"))
+
+    def entered(rows: DataFrame) -> DataFrame:
+        """Blocks with the rows at which they are entered; rows that lead nowhere are none."""
+        entries = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(log, keys)], block.alias("_of")).agg(F.collect_set("_n").alias("_entries"))
+        held = blocks.join(entries, (F.col("_block") == F.col("_of")) & same_key(log, keys))
+        return held.withColumn("_entries", F.array_sort(F.array_intersect("_entries", "_numbers"))).drop(*keys, "_of")
+
+    inner = entered(exits.union(firsts))
+    led = inner.withColumn("_to", _exits_of("_numbers", "_jumps", "_entries"))
+    pairs = led.select(*log, F.explode(F.arrays_zip("_entries", "_to")).alias("_pair"))
+    ways = pairs.select(*log, F.col("_pair._entries").alias("_n"), F.col("_pair._to").alias("_next"))
+    found = followed(ways, log)
+    return entered(found).select(*log, F.explode(_ways("_numbers", "_jumps", "_entries")).alias("_n"))
+
+
 def log_cut(
     events: DataFrame,
     log: list[str],
@@ -89,6 +167,7 @@ def log_cut(
     every: str = values.ROLLOVER_TIME,
     max_bytes: int = values.ROLLOVER_BYTES,
     rows_per_task: int = ROWS_PER_TASK,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Segments of each log as one writer would cut them; adds segment_no and segment_start.
 
@@ -102,7 +181,7 @@ def log_cut(
     counted = running(sized, log, [ts, tie], F.lit(1).cast("long"), "_n", "sum", rows_per_task)
     summed = pin(running(counted, log, [ts, tie], F.col("_size"), "_upto", "sum", rows_per_task))
     slim = summed.select(*log, ts, "_n", "_upto", "_size")
-    cuts = reached(successors(slim, log, ts, "_size", every, max_bytes, rows_per_task), log)
+    cuts = reached(successors(slim, log, ts, "_size", every, max_bytes, rows_per_task), log, rows_per_block)
     keys = [f"_l{i}" for i in range(len(log))]
     cuts = cuts.select(*[F.col(k).alias(n) for k, n in zip(log, keys)], F.col("_n").alias("_m"))
     match = (F.col("_n") == F.col("_m")) & same_key(log, keys)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from armada.operators.logcut import log_cut
+from armada.operators.logcut import followed, log_cut, reached
 
 START = datetime(2024, 1, 1)
 
@@ -49,3 +49,25 @@ def test_log_cut(spark, per_task, most):
 
 def test_nothing_to_cut(spark):
     assert log_cut(spark.createDataFrame([], SCHEMA), ["log"], "ts", "id", "bytes").count() == 0
+
+
+@pytest.mark.parametrize("per_block", [1, 2, 7, 4_096])
+def test_blocks_of_any_length(spark, per_block):
+    made = rows(2)
+    table = spark.createDataFrame(made, SCHEMA)
+    got = log_cut(table, ["log"], "ts", "id", "bytes", "10 minutes", 20, rows_per_block=per_block).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, plain_cut(made, 10, 20)))
+
+
+def test_only_entries_are_doubled(spark, monkeypatch):
+    # Before, every row was joined anew in each round.
+    doubled = []
+
+    def counted(ways, log):
+        doubled.append(ways.count())
+        return followed(ways, log)
+
+    monkeypatch.setattr("armada.operators.logcut.followed", counted)
+    jumps = spark.range(1, 1001).selectExpr("'a' AS log", "id AS _n", "CASE WHEN id <= 997 THEN id + 3 END AS _next")
+    got = reached(jumps, ["log"], 100)
+    assert sorted(r._n for r in got.collect()) == list(range(4, 1001, 3)) and doubled[0] <= 1 + 3 * 10
