@@ -71,7 +71,7 @@ def test_long_cycles_and_chains(spark):
     assert references(none, "cluster").count() == 0 and resolve_bindings(none, "cluster").count() == 0
 
 
-def test_bindings_are_never_broadcast(spark, monkeypatch):
+def test_bindings_are_never_broadcast(spark, monkeypatch, tmp_path):
     # Spark expects few rows of these frames, for they come of small files; a broadcast would hold all of them in each task.
     plans = []
 
@@ -80,6 +80,7 @@ def test_bindings_are_never_broadcast(spark, monkeypatch):
         return pin(frame)
 
     monkeypatch.setattr("armada.operators.bindings.pin", planned)
-    table = spark.createDataFrame(ROWS, "cluster string, name string, value string")
+    spark.createDataFrame(ROWS, "cluster string, name string, value string").write.parquet(str(tmp_path / "rows"))
+    table = spark.read.parquet(str(tmp_path / "rows"))
     plans.append(resolve_bindings(table, "cluster")._jdf.queryExecution().sparkPlan().toString())
     assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]

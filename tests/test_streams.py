@@ -139,9 +139,10 @@ def test_rolled_files(spark, events, tmp_path):
     assert all(".zstd." in f.name for f in (tmp_path / "out").glob("*/*.parquet"))
 
 
-def test_health_broadcasts_no_table(spark):
+def test_health_broadcasts_no_table(spark, tmp_path):
     # A stream plans by the size of files: many clusters in few bytes would be broadcast from the driver.
     bodies = spark.createDataFrame([(1, START, "c", "")], "id int, ts timestamp, cluster string, body string")
-    expected = spark.createDataFrame([("c", 1)], "cluster string, expected_nodes int")
+    spark.createDataFrame([("c", 1)], "cluster string, expected_nodes int").write.parquet(str(tmp_path / "expected"))
+    expected = spark.read.parquet(str(tmp_path / "expected"))
     planned = stream_health(bodies, expected, "cluster", "body", "ts", "id")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in planned and "Broadcast" not in planned
