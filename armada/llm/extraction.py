@@ -9,16 +9,22 @@ carry their path, so the class nests by itself. Text in it (notices, menus, capt
 same place of every page and is dropped, unless the page's own text goes on in the same block; what lies
 between the template's tokens are slots.
 
+The other classes are nested in these slots: those of one tag and one text at least, on enough pages, whose
+tokens come in one order, in one slot of the template, on every page, and do not cross another class. Such a
+class is a part that some pages of a layout have, or have several times; its text goes with its elements.
+
 Of the slots those count that stand in the article, or without one in the body, outside elements that
 never hold main text: by their tag, or by what their class, id or role says.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as references
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,16 +152,17 @@ def tokens(page: str) -> Iterator[tuple[str, int, str, bool, bool, int]]:
     yield from texts(page[at:])
 
 
-def main_text(page: str, template: set[int]) -> str:
+def main_text(page: str, template: set[int], nested: set[int] = frozenset()) -> str:
     """Slots of the main part, each block with single spaces, joined in page order.
 
-    Blocks of the template's text alone are left out, and its text inside its own elements. Where that would take most of an article, or all
-    of a page without one, the pages of the host are copies of each other, and nothing is left out.
+    Blocks of the template's text alone are left out, and its text inside its own elements; of the nested classes, their
+    text inside their own elements. Where that would take most of an article, or all of a page without one, the
+    pages are copies of each other, and the nested classes, or if that is not enough the template, leave nothing out.
     """
     events = list(tokens(page))
     article = any(main and not dropped for kind, _, _, dropped, main, _ in events if kind == "text")
 
-    def blocks(known: set[int]) -> str:
+    def blocks(known: set[int], parts: set[int] = frozenset()) -> str:
         found, block = [], []
         for kind, token, text, dropped, main, around in [*events, ("break", 0, "", False, False, 0)]:
             if kind == "break":
@@ -163,61 +170,177 @@ def main_text(page: str, template: set[int]) -> str:
                 fixed = all(token in known for token, _, _ in block if token)
                 found.append([] if fixed and block else [t for token, t, inside in block if not (inside and token in known)])
                 block = []
-            elif kind == "text" and not dropped and (main or not article):
+            elif kind == "text" and not dropped and (main or not article) and not (token in parts and around in parts):
                 block.append((token, text, around in known))
         joined = (SPACE.sub(" ", "".join(b)).strip() for b in found if b)
         return " ".join(b for b in joined if b)
 
-    text = blocks(template)
     if not template:
-        return text
+        return blocks(template)
     whole = blocks(set())
-    return whole if not text or (article and 2 * len(text) < len(whole)) else text
+    for parts in (nested, set()) if nested else (set(),):
+        text = blocks(template, parts)
+        if text and not (article and 2 * len(text) < len(whole)):
+            return text
+    return whole
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Rows (host, template): token hashes in the equivalence classes of the host's body tags.
+TEXT, TAG_TOKEN, BODY = 0, 1, 2
+_FOUND = "array<struct<token:bigint,count:int,kind:int,places:array<int>>>"
 
-    Pages of equal html count once. A token of a class is on every page of it, as often as the body tag,
-    so a class is no longer than one page, and a host has fewer classes than pages by ``least_pages``.
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """Rows (host, page, found): the tokens of each different page, how often and where it holds them.
+
+    Pages of equal html count once, told apart by the 64-bit hash ``page``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES):
-            hosts, found, counts, pages_, roots = [], [], [], [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                own: dict[int, int] = {}
-                bodies = set()
+            found, counts, kinds, places, begins = [], [], [], [], [0]
+            for page in batch.column("html").to_pylist():
+                own: dict[int, list[int]] = {}
+                kind_of: dict[int, int] = {}
+                place = 0
                 for kind, token, text, *_ in tokens(page):
                     if kind != "break" and token:
-                        own[token] = own.get(token, 0) + 1
-                        if kind == "tag" and text == "body":
-                            bodies.add(token)
-                number = xxhash.xxh64_intdigest(page) - (1 << 63)
-                hosts.extend([host] * len(own))
+                        own.setdefault(token, []).append(place)
+                        place += 1
+                        if kind == "tag":
+                            kind_of[token] = BODY if text == "body" else TAG_TOKEN
                 found.extend(own)
-                counts.extend(own.values())
-                pages_.extend([number] * len(own))
-                roots.extend(token in bodies for token in own)
+                counts.extend(map(len, own.values()))
+                kinds.extend(kind_of.get(token, TEXT) for token in own)
+                for at in own.values():
+                    places.extend(at)
+                begins.append(len(found))
+            offsets = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
+            rows = pa.StructArray.from_arrays(
+                [
+                    pa.array(found, pa.int64()), pa.array(counts, pa.int32()), pa.array(kinds, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32())),
+                ],
+                names=["token", "count", "kind", "places"],
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64()), pa.array(pages_, pa.int64()), pa.array(roots, pa.bool_())],
-                names=["host", "token", "count", "page", "root"],
+                [batch.column("host"), batch.column("page"), pa.ListArray.from_arrays(pa.array(begins, pa.int32()), rows)],
+                names=["host", "page", "found"],
             )
 
-    different = pages.select("host", "html").where("html IS NOT NULL").distinct()
-    rows = different.mapInArrow(run, "host string, token long, count long, page long, root boolean")
-    vectors = rows.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("root").alias("root")
+    rows = pages.where("html IS NOT NULL").select("host", F.xxhash64("html").alias("page"), "html")
+    return rows.mapInArrow(run, f"host string, page long, found {_FOUND}").dropDuplicates(["host", "page"])
+
+
+def in_slots(members: list[dict]) -> Iterator[tuple[int, int, int, bool, list[int]]]:
+    """(class, slot, order, valid, tokens) of the classes on one page, parted by the slot of the template they stand in.
+
+    A slot is named by the tag of the template before it. A class that stands in one slot k times must hold all its
+    tokens k times in the same order; of two that cross, the one on fewer pages is not valid.
+    """
+    edges = sorted((place, m["token"]) for m in members if m["root"] for place in m["places"])
+    begins = [place for place, _ in edges]
+    parts: dict[tuple[int, int], list[dict]] = {}
+    for m in members:
+        if not m["root"]:
+            slots = {bisect.bisect(begins, place) for place in m["places"]}
+            if len(slots) == 1 and (slot := slots.pop()):
+                parts.setdefault((m["class"], edges[slot - 1][1]), []).append(m)
+    orders, sequence, bad = {}, [], set()
+    for key, own in parts.items():
+        kinds = {m["kind"] > TEXT for m in own}
+        if len(kinds) < 2:  # a tag and a text at least
+            continue
+        at = sorted((place, m["token"]) for m in own for place in m["places"])
+        first = [token for _, token in at[: len(own)]]
+        orders[key] = first
+        if [token for _, token in at] != first * (len(at) // len(first)) or len(set(first)) < len(first):
+            bad.add(key)
+        sequence.extend((place, key, i // len(own)) for i, (place, _) in enumerate(at))
+    weight = {key: (parts[key][0]["support"], len(parts[key]), key) for key in orders}
+    open_: list[tuple] = []
+    standing: set[tuple] = set()
+    seen: dict[tuple, int] = {}
+    for _, key, number in sorted(sequence):
+        instance = (key, number)
+        while instance in standing and open_[-1] != instance:
+            crossing = open_.pop()
+            standing.remove(crossing)
+            bad.add(min(crossing[0], key, key=weight.get))
+        if instance not in standing:
+            open_.append(instance)
+            standing.add(instance)
+        seen[instance] = seen.get(instance, 0) + 1
+        if seen[instance] == len(orders[key]):
+            standing.remove(open_.pop())
+    for key, first in orders.items():
+        yield *key, xxhash.xxh64_intdigest(np.array(first, dtype=np.int64).tobytes()) - (1 << 63), key not in bad, first
+
+
+def placed(members: DataFrame) -> DataFrame:
+    """Rows (host, page, class, slot, order, valid, support, tokens) of ``in_slots`` for every page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables(batches, BATCH_BYTES // 4):
+            rows = []
+            for row in batch.to_pylist():
+                supports = {m["class"]: m["support"] for m in row["members"]}
+                rows.extend({"host": row["host"], "page": row["page"], "class": c, "slot": s, "order": o, "valid": v, "support": supports[c], "tokens": t} for c, s, o, v, t in in_slots(row["members"]))
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = pa.schema([
+        ("host", pa.string()), ("page", pa.int64()), ("class", pa.int64()), ("slot", pa.int64()), ("order", pa.int64()),
+        ("valid", pa.bool_()), ("support", pa.int64()), ("tokens", pa.list_(pa.int64())),
+    ])
+    per_page = members.groupBy("host", "page").agg(
+        F.collect_list(F.struct("class", "token", "kind", "root", "support", "places")).alias("members")
+    )
+    return per_page.mapInArrow(
+        run, "host string, page long, class long, slot long, order long, valid boolean, support long, tokens array<bigint>"
+    )
+
+
+def deduced(pages: DataFrame, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Rows (host, template), and rows (host, page, nested) of the pages that hold nested classes."""
+    found = staged(occurrences(pages), "occurrences").select("host", "page", F.inline("found"))
+    vectors = found.groupBy("host", "token").agg(
+        F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("kind").alias("kind")
     )
     vectors = staged(vectors.where(F.col("support") >= least_pages), "vectors")
-    roots = vectors.where("root").select(
+    roots = vectors.where(F.col("kind") == BODY).select(
         F.col("host").alias("root_host"), F.col("support").alias("root_support"), F.col("vector").alias("root_vector")
     )
     same = (F.col("host") == F.col("root_host")) & (F.col("support") == F.col("root_support")) & (F.col("vector") == F.col("root_vector"))
-    return (
-        vectors.join(roots, same, "left_semi").groupBy("host")
-        .agg(F.collect_set("token").alias("template"))
+    rooted = vectors.join(roots, same, "left_semi")
+    templates_ = rooted.groupBy("host").agg(F.collect_set("token").alias("template"))
+
+    others = vectors.join(roots, same, "left_anti")
+    named = F.xxhash64("support", "vector").alias("class")
+    large = others.groupBy("host", named).agg(F.max("kind").alias("most"), F.min("kind").alias("least"))
+    large = large.where((F.col("most") > TEXT) & (F.col("least") == TEXT)).select("host", "class")
+    parts = others.select("host", "token", named, "support", "kind", F.lit(False).alias("root")).join(large, ["host", "class"], "left_semi")
+    tags = rooted.where(F.col("kind") > TEXT).select("host", "token", named, "support", "kind", F.lit(True).alias("root"))
+    parts = parts.join(rooted.select("host").distinct(), "host", "left_semi")
+    columns = ("host", "token", "class", "support", "kind", "root")
+    known = staged(parts.select(*columns).union(tags.join(large.select("host").distinct(), "host", "left_semi").select(*columns)), "classes")
+
+    classes = staged(placed(found.drop("kind").join(known, ["host", "token"])), "placed")
+    valid = classes.groupBy("host", "class", "slot").agg(
+        F.count("*").alias("n"), F.max("support").alias("support"), F.min("order").alias("first"), F.max("order").alias("last"),
+        F.min("valid").alias("valid"),
+    ).where("valid AND n = support AND first = last").select("host", "class", "slot")
+    nested = classes.join(valid, ["host", "class", "slot"], "left_semi").groupBy("host", "page").agg(
+        F.flatten(F.collect_list("tokens")).alias("nested")
     )
+    return templates_, nested
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Rows (host, template): token hashes in the equivalence classes of the host's body tags.
+
+    Pages of equal html count once. A token of a class is on every page of it, as often as the body tag,
+    so a class is no longer than one page, and a host has fewer classes than pages by ``least_pages``.
+    """
+    return deduced(pages, least_pages)[0]
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -232,13 +355,15 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host")
     )
-    known = templates(rows).withColumnRenamed("host", "template_host")
+    known, parts = deduced(rows)
+    known = known.withColumnRenamed("host", "template_host")
+    parts = parts.select(F.col("host").alias("part_host"), F.col("page").alias("part_page"), "nested")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES):
             texts = [
-                main_text(page, set(template or ())) if page else ""
-                for page, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())
+                main_text(page, set(template or ()), set(nested or ())) if page else ""
+                for page, template, nested in zip(*(batch.column(n).to_pylist() for n in ("html", "template", "nested")))
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
@@ -246,5 +371,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             )
 
     kinds = dict(rows.dtypes)
-    joined = rows.join(known, F.col("host") == F.col("template_host"), "left").select("page_id", "url", "html", "template")
+    joined = rows.join(known, F.col("host") == F.col("template_host"), "left")
+    own = (F.col("host") == F.col("part_host")) & (F.xxhash64("html") == F.col("part_page"))
+    joined = joined.join(parts, own, "left").select("page_id", "url", "html", "template", "nested")
     return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -81,3 +81,42 @@ def test_a_page_of_several_megabytes(spark):
     text = prose(4, 400_000)
     (got,) = texts(spark, [("big", f"<body><nav>x</nav><article><p>{text}</p></article></body>")])
     assert got == text
+
+
+def test_a_notice_on_part_of_the_pages_goes_by_its_class(spark):
+    """Nested under the template: not of the class of the body tag, and neither tag nor marks name it."""
+    rows, wanted = [], []
+    for i in range(20):
+        own = [prose(300 * i + k, 12) for k in range(1 + i % 3)]
+        notice = "<div><b>Moved</b><i>See the new place</i></div>" if i % 3 == 0 else ""
+        line = "<p>A line that is told on part</p>" if i % 2 else ""  # no element of its own: the page's text
+        rows.append(("h", f"<html><body><nav>m</nav><article><h1>T{i}</h1>{notice}{''.join(f'<p>{p}</p>' for p in own)}{line}</article></body></html>"))
+        wanted.append(" ".join([f"T{i}", *own, *(["A line that is told on part"] if line else [])]))
+    assert texts(spark, rows) == wanted
+    few = [r for r in rows if "Moved" in r[1]][:4] + [r for r in rows if "Moved" not in r[1]]
+    assert sum("Moved" in t for t in texts(spark, few)) == 4  # on too few pages to tell
+
+
+def test_classes_must_keep_order_slot_and_nest():
+    def member(name, token, places, root=False, kind=extraction.TEXT, support=6):
+        return {"class": name, "token": token, "places": places, "root": root, "kind": kind, "support": support}
+
+    tag = extraction.TAG_TOKEN
+    roots = [member(0, 90, [0], True, tag), member(0, 91, [10], True, tag)]
+    both = [member(1, 5, [2, 5], kind=tag), member(1, 6, [3, 6])]
+
+    def found(*members):
+        return {(c, slot): (valid, tokens) for c, slot, _, valid, tokens in extraction.in_slots([*roots, *members])}
+
+    assert found(*both) == {(1, 90): (True, [5, 6])}
+    assert found(member(1, 5, [2, 6], kind=tag), member(1, 6, [3, 5])) == {(1, 90): (False, [5, 6])}  # not in one order
+    assert found(member(1, 5, [2, 12], kind=tag), member(1, 6, [3, 13])) == {}  # in two slots
+    crossing = [member(2, 7, [4], kind=tag, support=7), member(2, 8, [7], support=7), member(3, 9, [5], kind=tag), member(3, 4, [8])]
+    assert found(*crossing) == {(2, 90): (True, [7, 8]), (3, 90): (False, [9, 4])}
+    inside = [member(2, 7, [4], kind=tag), member(2, 8, [9]), member(3, 9, [5], kind=tag), member(3, 4, [8])]
+    assert found(*inside) == {(2, 90): (True, [7, 8]), (3, 90): (True, [9, 4])}
+
+
+def test_an_article_on_part_of_the_pages_stays(spark):
+    rows = [("h", f"<html><body><article><h1>{prose(i // 6, 4)}</h1><p>{prose(900 + i // 6, 30)}</p></article><a href='?{i}'>v{i}</a></body></html>") for i in range(18)]
+    assert texts(spark, rows) == [f"{prose(i // 6, 4)} {prose(900 + i // 6, 30)}" for i in range(18)]
