@@ -11,12 +11,14 @@ row, so Spark's commit keeps them whole when executors are lost and any file sys
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +30,14 @@ MAGIC = b"DAC1"
 DIRECTORY = 512
 SEGMENT_TOKENS = 1 << 20
 BATCH_BYTES = 4_000_000
-MOST_WORDS = 250_000
+MOST_WORDS = 200_000
 LATIN_END = "\u0250"
+# Latin letters and signs after them, which make one piece each; without U+0130, that in lower case ends in a mark.
+LETTERS_AND_SIGNS = re.compile(
+    r"([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:;=-@\[-`{-~]*)"
+).fullmatch
+# Texts that keep their case until they are cut: special strings, and signs of which case or joining depends on others.
+KEPT = re.compile(r"[<\u0130\u0250-\U0010ffff]").search
 END_ID = 1
 
 _SCHEMA = (
@@ -119,7 +127,9 @@ class Encoder:
 
     Only for tokenizers whose pieces never hold white space, which is where texts are cut, and that
     give the digit zero an id of its own: words are encoded many at a time with zeros between them. The
-    tokenizer lower-cases, and its pieces end where a letter meets a comma or full stop.
+    tokenizer lower-cases, and its pieces end where a letter meets a sign. Latin letters in lower case are therefore
+    one piece, which its normalizer and its pattern leave as it is; they are encoded without these, and
+    end with the id that marks the end of a piece.
     """
 
     TOGETHER = 1000
@@ -128,10 +138,19 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         (self.zero,) = self.ids(["0"])[0]
+        suffix, pieces = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        if not suffix:
+            raise ValueError("the tokenizer does not mark the ends of words")
+        self.closing = np.zeros(max(pieces.values()) + 1, dtype=bool)
+        self.closing[[number for piece, number in pieces.items() if piece.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -152,10 +171,40 @@ class Encoder:
         """Store the ids of new words."""
         if not words:
             return
-        forms = {w: self.plain(w) for w in words}
-        self.encode({f for form in forms.values() for f in form}.difference(self.known))
-        for word, (stem, sign) in forms.items():
-            self.known[word] = self.known[stem] + self.known[sign]
+        forms, stems, others = [], set(), set()
+        for word in words:
+            found = LETTERS_AND_SIGNS(word)
+            if found:
+                stem, signs = found.groups()
+                stem = stem.lower()
+                stems.add(stem)
+            else:
+                stem, signs = self.plain(word)
+                others.add(stem)
+            if signs:
+                others.add(signs)
+            if signs or stem != word:
+                forms.append((word, stem, signs))
+        known = self.known
+        self.encode_letters(list(stems.difference(known)))
+        self.encode(others.difference(known))
+        for word, stem, signs in forms:
+            known[word] = known[stem] + known[signs] if signs else known[stem]
+
+    def stored(self, group: list[str], data: bytes, begins: list[int], ends: list[int]) -> None:
+        if len(begins) != len(group):
+            raise ValueError("the tokenizer does not keep words apart")
+        for word, i, j in zip(group, begins, ends):
+            self.known[word] = data[i:j]
+
+    def encode_letters(self, words: list[str]) -> None:
+        """Ids of words of Latin letters in lower case, as little-endian 32-bit numbers."""
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group in groups:
+            (found,) = self.letters.encode_batch_fast([" ".join(group)], add_special_tokens=False)
+            numbers = np.array(found.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.closing[numbers]) + 1)).tolist()
+            self.stored(group, numbers.tobytes(), [0, *ends[:-1]], ends)
 
     def encode(self, words: set[str]) -> None:
         """Ids as little-endian 32-bit numbers."""
@@ -165,25 +214,32 @@ class Encoder:
             numbers = np.array(found, dtype="<u4")
             cuts = np.flatnonzero(numbers == self.zero)
             data = numbers.tobytes()
-            begins = [0, *(4 * cuts + 4).tolist()]
-            ends = [*(4 * cuts).tolist(), len(data)]
-            if len(begins) != len(group):
-                raise ValueError("the tokenizer does not keep words apart")
-            for word, i, j in zip(group, begins, ends):
-                self.known[word] = data[i:j]
+            self.stored(group, data, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)])
         rest = [w for w in words if "0" in w]
         for word, found in zip(rest, self.ids(rest)):
             self.known[word] = np.array(found, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        split = [(t.replace("\n", " ") if "\n" in t else t).split(" ") for t in texts]
-        new: set[str] = set().union(*split) if split else set()
-        self.learn(new.difference(self.known))
-        find = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(find, words))
+        if not texts:
+            return
+        lines = [t if KEPT(t) else t.lower() for t in texts]
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") if "\n" in t else t for t in lines], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) > MOST_WORDS:  # frequent words are in every batch, and stay
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        self.learn(set(words).difference(self.known))
+        found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        order = coded.indices.to_numpy()
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        first = (np.cumsum(sizes) - sizes)[order] - (ends - lengths)  # from a place in the texts to one in the ids of the words
+        data = ids[np.repeat(first, lengths) + np.arange(len(first) and ends[-1])].tobytes()
+        cuts = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield data[begin:end]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -266,10 +322,10 @@ def token_digests(spark, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 stored, at = Segment(row["data"]), 0
                 starts, sums = [], []
+                data = memoryview(stored.slice(0, len(stored)).astype("<u4").tobytes())
                 for length in row["lengths"]:
-                    ids = stored.slice(at, at + length)
                     starts.append(row["start"] + at)
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    sums.append(zlib.crc32(data[4 * at : 4 * (at + length)]))
                     at += length
                 yield pa.RecordBatch.from_arrays(
                     [

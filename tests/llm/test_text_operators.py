@@ -145,6 +145,26 @@ def test_signs_after_any_letter_are_cut_as_the_library_does():
         assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_cut_in_lower_case_are_as_the_library_has_them():
+    library, made = Tokenizer.from_file(WORDS), storing.Encoder(WORDS)
+    chance = random.Random(3)
+    signs = [chr(c) for c in range(0x20, 0x250)] + list("\u0301\u0331\u0345\u1e9e\u03a3\u03c2\u200d\u212b '.,<>|%#\n") + ["'LL", "<|startoftext|>", "<|EndOfText|>"]
+    texts = ["".join(chance.choice(signs) for _ in range(chance.randint(0, 30))) for _ in range(4000)]
+    texts += [f"{a}{chr(c)}{b}" for c in range(0x21, 0x800) for a, b in (("", ""), ("A", "."), ("h", "B%%%"))]
+    for text, ids in zip(texts, made(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_of_the_batch_outlast_the_bound(monkeypatch):
+    monkeypatch.setattr(storing, "MOST_WORDS", 3)
+    made, learned = storing.Encoder(WORDS), []
+    learn = made.learn
+    monkeypatch.setattr(made, "learn", lambda words: (learned.append(set(words)), learn(words)))
+    for text in ("one two three four", "one five", "one six"):
+        list(made([text]))
+    assert learned == [{"one", "two", "three", "four"}, {"five"}, {"six"}]
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     storing.write_tokens(frame(spark, [(1, "a")]).limit(0), WORDS, str(tmp_path / "none"))
     assert storing.token_digests(spark, str(tmp_path / "none")).count() == 0
