@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armada.llm.common import mixed, staged, tables
@@ -33,6 +34,7 @@ MOST_CONTEXTS = 400  # different contexts of an anchor that meet in one bucket
 BUCKET_BYTES = 1_000_000
 BATCH_BYTES = 4_000_000
 
+REPEAT, LAST, FIRST = 0, 1, 2
 DIGESTED = ("high", "low", "doc", "tag", "context", "place")
 ANCHORED = ("hash", "context", "doc", "tag", "begin", "strings")
 
@@ -305,13 +307,64 @@ def digested(contexts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (high, low, doc, tag, begin, place)], names=list(DIGESTED))
 
     strings = staged(contexts.mapInArrow(run, ", ".join(f"{n} long" for n in DIGESTED)), "strings")
-    least = strings.groupBy("high", "low").agg(F.min(F.struct("doc", "tag", "place")).alias("least"))
-    later = F.when(F.struct("doc", "tag", "place") != F.col("least"), F.col("place"))
+    return repeats_in_order(strings)
+
+
+def repeats_in_order(strings: DataFrame) -> DataFrame:
+    """Spans of all but the earliest string of each digest, one per context.
+
+    Ranges are cut by digest and place, so no string is too frequent for one task; which string comes before
+    a range is known from the first and last row of each, and nothing is joined to the strings.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = first = None
+        part = TaskContext.get().partitionId()
+
+        def rows(found: dict[str, np.ndarray], edge: int) -> pa.RecordBatch:
+            count = len(found["high"])
+            numbers = [pa.array(found[n], pa.int64()) for n in DIGESTED]
+            return pa.RecordBatch.from_arrays(
+                [*numbers, pa.array([edge] * count, pa.int32()), pa.array([part] * count, pa.int32())], names=[*DIGESTED, "edge", "part"]
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {n: batch.column(n).to_numpy() for n in DIGESTED}
+            last = {n: v[-1:].copy() for n, v in new.items()}
+            digest = np.stack([new["high"], new["low"]])
+            if before is None:
+                first = tuple(int(new[n][0]) for n in DIGESTED)
+                yield rows({n: v[:1] for n, v in new.items()}, FIRST)
+                before = tuple(int(new[n][0]) for n in ("high", "low"))
+                lead = first[2:4] + first[5:]
+            # The earliest string of the digest at the beginning of the batch, and of each that begins in it.
+            starts = np.concatenate([[(int(digest[0, 0]), int(digest[1, 0])) != before], (digest[:, 1:] != digest[:, :-1]).any(axis=0)])
+            leads = np.stack([new[n] for n in ("doc", "tag", "place")])
+            at = np.maximum.accumulate(np.where(starts, np.arange(len(starts)), -1))
+            held = np.where(at >= 0, leads[:, at], np.array(lead, dtype=np.int64)[:, None])
+            later = (leads != held).any(axis=0)
+            if later.any():
+                yield rows({n: v[later] for n, v in new.items()}, REPEAT)
+            before, lead = (int(digest[0, -1]), int(digest[1, -1])), tuple(int(x) for x in held[:, -1])
+        if before is not None:
+            yield rows(last, LAST)
+
+    order = ("high", "low", "doc", "tag", "place")
+    ranged = strings.repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = ", ".join(f"{n} long" for n in DIGESTED) + ", edge int, part int"
+    marked = staged(ranged.mapInArrow(run, kinds), "digests")
+    # Two rows a range: a first row is a repeat when a range before ends with its digest, at another place.
+    by_digest = Window.partitionBy("high", "low").orderBy("part", F.desc("edge")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("doc", "tag", "place")
+    edges = marked.where(F.col("edge") != REPEAT).withColumn("least", F.min(F.when(F.col("edge") == LAST, place)).over(by_digest))
+    found = ("doc", "tag", "context", "place")
+    firsts = edges.where((F.col("edge") == FIRST) & (F.col("least") != place)).select(*found)
     # Strings of one context overlap, so what is repeated of it is one span.
-    spans = strings.join(least, ["high", "low"]).groupBy("doc", "tag", "context").agg(
-        F.min(later).alias("begin"), (F.max(later) + LENGTH).alias("end")
-    )
-    return spans.where("begin IS NOT NULL").select("doc", "tag", "begin", "end")
+    return marked.where(F.col("edge") == REPEAT).select(*found).union(firsts).groupBy("doc", "tag", "context").agg(
+        F.min("place").alias("begin"), (F.max("place") + LENGTH).alias("end")
+    ).select("doc", "tag", "begin", "end")
 
 
 def packed(texts: DataFrame) -> DataFrame:

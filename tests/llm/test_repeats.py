@@ -53,3 +53,30 @@ def test_periodic_texts(spark, monkeypatch, most, size):
         at = chance.randrange(len(text))
         docs.append((10 + i, text[:at] + chance.choice(["", "c"]) + text[at:]))
     assert ordered(found(spark, docs)) == ordered(plain_repeats(docs))
+
+
+def test_frequent_strings_are_told_in_order_without_a_join(spark):
+    chance = random.Random(8)
+    rows = [(chance.choice([1, 1, 1, 2, 3]), chance.randint(0, 1), d, 0, b, b + p) for d in range(60) for b in (0, 50) for p in chance.sample(range(30), 6)]
+    rows += rows[:40]
+    least = {}
+    for high, low, doc, tag, _, place in rows:
+        least[high, low] = min(least.get((high, low), (doc, tag, place)), (doc, tag, place))
+    want = {}
+    for high, low, doc, tag, context, place in rows:
+        if (doc, tag, place) != least[high, low]:
+            begin, end = want.get((doc, tag, context), (place, 0))
+            want[doc, tag, context] = min(begin, place), max(end, place + repeats.LENGTH)
+    size, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    kept = {name: spark.conf.get(name) for name in (size, parts)}
+    try:
+        spark.conf.set(size, 7)
+        for count in (1, 4, 40):
+            spark.conf.set(parts, count)
+            strings = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in repeats.DIGESTED)).repartition(3)
+            spans = repeats.repeats_in_order(strings)
+            assert sorted(tuple(r) for r in spans.collect()) == sorted((d, t, b, e) for (d, t, _), (b, e) in want.items())
+            assert "Join" not in spans._jdf.queryExecution().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
