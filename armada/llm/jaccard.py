@@ -41,7 +41,7 @@ BATCH_BYTES = 4_000_000
 MOST_WORDS = 100_000
 BLOCK_SHINGLES = 1_000_000  # shingles of one block of a component, about
 LOOSE = 50  # percent of likeness that makes neighbours of a tile one group
-COLUMNS = 4096  # shingles that are multiplied at a time
+COLUMNS = 1024  # shingles that are multiplied at a time
 
 
 class Hashes(dict):
@@ -351,21 +351,23 @@ def sets_of(texts: DataFrame, members: DataFrame, wanted: DataFrame, n: int) ->
 def overlaps(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets numbered ``first`` with those numbered ``second``."""
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-    counts = np.diff(np.concatenate([starts, [len(values)]]))
+    counts = np.diff(starts, append=len(values))
+    del values, starts
     owner = owner[np.repeat(counts > 1, counts)]  # a shingle of one set alone is in no intersection
     counts = counts[counts > 1]
-    column = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
     both = np.zeros((len(first), len(second)), dtype=np.float32)  # exact below 2 ** 24
     for start in range(0, len(counts), COLUMNS):
-        low, high = np.searchsorted(column, [start, start + COLUMNS])
-        held = np.zeros((len(sets), min(COLUMNS, len(counts) - start)), dtype=np.float32)
-        held[owner[low:high], column[low:high] - start] = 1
+        own = counts[start : start + COLUMNS]
+        held = np.zeros((len(sets), len(own)), dtype=np.float32)
+        held[owner[ends[start] - own[0] : ends[start + len(own) - 1]], np.repeat(np.arange(len(own)), own)] = 1
         both += held[first] @ held[second].T
-    return both.astype(np.int64)
+    return both.astype(np.int32)
 
 
 def connected(good: np.ndarray, first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -403,12 +405,15 @@ def linked(classes: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
 
         def counted() -> pa.RecordBatch:
             own, ids, copies, found = zip(*held)
-            own, copies, sizes = np.array(own), np.array(copies, dtype=np.int64), np.array([len(x) for x in found])
+            own, copies, sizes = np.array(own), np.array(copies, dtype=np.int64), np.array([len(x) for x in found], dtype=np.int64)
             ids = np.array(ids, dtype=np.int64)
             first, second = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
-            total = sizes[first][:, None] + sizes[second][None, :]
             both = overlaps(found, first, second)
-            good = 100 * both >= percent * (total - both)
+            # 100 * both >= percent * (sum of sizes - both), a row at a time
+            good = np.empty(both.shape, dtype=bool)
+            for i, size in enumerate(sizes[first]):
+                good[i] = (100 + percent) * both[i].astype(np.int64) >= percent * (size + sizes[second])
+            del both
             links = np.zeros(len(ids), dtype=np.int64)
             if at[1] == at[2]:
                 np.fill_diagonal(good, False)

@@ -255,3 +255,18 @@ def test_quality_rules_and_verdict(spark):
     assert all(rows[d].kept for d, _ in good) and not any(rows[d].kept for d in [d for d, _ in junk] + [300, 301, 302, 303])
     untaught = quality.quality(table, quality.quality_model(table, labels.limit(0)))
     assert all(r.kept == (not r.base_failed) for r in untaught.collect())
+
+
+def test_overlaps_hold_no_array_of_all_sets_by_many_shingles():
+    import tracemalloc
+
+    chance = np.random.default_rng(5)
+    sets = [np.unique(chance.integers(0, 9000, 300).astype(np.uint64)) for _ in range(900)]
+    first, second = np.arange(0, 900, 3), np.arange(1, 900, 3)
+    tracemalloc.start()
+    got = jaccard.overlaps(sets, first, second)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for i, j in ((0, 0), (7, 290), (299, 13)):
+        assert got[i, j] == len(np.intersect1d(sets[first[i]], sets[second[j]]))
+    assert most < 16_000_000
