@@ -9,7 +9,10 @@ l bytes, for l = 1, 2, ... up to LENGTH, where it stops. What is then still toge
 and all but the earliest are repeats.
 
 An anchor with very many different contexts (the edge of a passage in a large part of all texts) would make a bucket that
-grows with the input; its strings are compared by 128-bit digests in an ordinary aggregate instead.
+grows with the input. Its contexts are put in order by the bytes from the anchor on, and buckets are cut from that order:
+equal strings lie side by side in it, so only those that the first or last row of a bucket begins with can stand
+outside, and of these the earliest of the bucket goes on. A second order, by the bytes before the anchor backwards, does the
+same with what is left; the few strings at its edges are compared by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ BATCH_BYTES = 4_000_000
 
 REPEAT, LAST, FIRST = 0, 1, 2
 DIGESTED = ("high", "low", "doc", "tag", "context", "place")
+AROUND = "hash long, doc long, tag long, begin long, left binary, right binary"
 ANCHORED = ("hash", "context", "doc", "tag", "begin", "strings")
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -261,6 +265,115 @@ def compared(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, SPANS)
 
 
+def around_anchors(contexts: DataFrame) -> DataFrame:
+    """Contexts as the bytes before their anchor, backwards (``left``), and those from the anchor on (``right``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables(batches, BATCH_BYTES // 16):
+            data = batch.column("bytes").to_pylist()
+            hashes = anchor_hashes(np.frombuffer(b"".join(data), np.uint8))
+            left, right, at = [], [], 0
+            for d in data:
+                place = int(hashes[at : at + len(d) - ANCHOR + 1].argmin())  # it is in all strings, and the least of each
+                left.append(d[:place][::-1])
+                right.append(d[place:])
+                at += len(d)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("hash", "doc", "tag", "begin")), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=["hash", "doc", "tag", "begin", "left", "right"],
+            )
+
+    return contexts.select("hash", "doc", "tag", "begin", "bytes").mapInArrow(run, AROUND)
+
+
+def shared_lengths(keys: list[bytes], other: bytes) -> np.ndarray:
+    """How many first bytes each key has in common with the other one."""
+    width = len(other)
+    if not width:
+        return np.zeros(len(keys), dtype=np.int64)
+    rows = np.frombuffer(b"".join(k[:width].ljust(width, b"\0") for k in keys), np.uint8).reshape(len(keys), width)
+    alike = np.logical_and.accumulate(rows == np.frombuffer(other, np.uint8), axis=1).sum(axis=1)
+    return np.minimum(alike, [len(k) for k in keys])
+
+
+def sliced(contexts: DataFrame, side: str) -> DataFrame:
+    """Rows of ``around_anchors`` that may be repeated outside their bucket, and ``end`` of spans known to repeat (bytes null).
+
+    Rows are put in order by anchor and side, and buckets are cut where they are full, so no anchor is too
+    frequent. Strings of one anchor that are equal share its bytes of the side as well: the rows with these bytes are
+    neighbours, and unless the first or the last row of the bucket is one of them, all are inside.
+    """
+    other = "left" if side == "right" else "right"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, left_open = 0, True
+
+        def bucket(rows, left_open, right_open):
+            hashes, docs, tags, begins = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(4))
+            lefts, rights = [r[4] for r in rows], [r[5] for r in rows]
+            owner, inside, classes = same_strings([a[::-1] + b for a, b in zip(lefts, rights)])
+            doc, tag, place = docs[owner], tags[owner], begins[owner] + inside
+            marks = later(doc, tag, place, classes)
+            repeated = runs(doc[marks], tag[marks], place[marks])
+            keys = lefts if side == "left" else rights
+            reach = np.full(len(rows), -1, dtype=np.int64)
+            for at, is_open in ((0, left_open), (-1, right_open)):
+                if is_open:
+                    reach = np.where(hashes == hashes[at], np.maximum(reach, shared_lengths(keys, keys[at])), reach)
+            # Strings start this many bytes before their anchor; of the side they hold that many, or the rest.
+            rest = np.flatnonzero(~marks)
+            before = np.array([len(x) for x in lefts], dtype=np.int64)[owner[rest]] - inside[rest]
+            may = (before if side == "left" else LENGTH - before) <= reach[owner[rest]]
+            rest, before = rest[may], before[may]
+            # What is left of a context is one row for each run of strings.
+            new = np.flatnonzero(np.append(True, (owner[rest[1:]] != owner[rest[:-1]]) | (inside[rest[1:]] != inside[rest[:-1]] + 1))[: len(rest)])
+            last = np.append(new[1:], len(rest))[: len(new)] - 1
+            firsts, lasts = rest[new], rest[last]
+            of = owner[firsts].tolist()
+            count = len(repeated[0])
+            columns = [
+                np.concatenate([np.zeros(count, dtype=np.int64), hashes[of]]),
+                np.concatenate([repeated[0], docs[of]]),
+                np.concatenate([repeated[1], tags[of]]),
+                np.concatenate([repeated[2], place[firsts]]),
+            ]
+            kept = [
+                [None] * count + [lefts[i][:n] for i, n in zip(of, before[new].tolist())],
+                [None] * count + [rights[i][: LENGTH - n] for i, n in zip(of, before[last].tolist())],
+            ]
+            end = np.concatenate([repeated[3], place[lasts] + LENGTH])
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns), *(pa.array(c, pa.binary()) for c in kept), pa.array(end, pa.int64())],
+                names=["hash", "doc", "tag", "begin", "left", "right", "end"],
+            )
+
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in ("hash", "doc", "tag", "begin", "left", "right"))):
+                if size >= BUCKET_BYTES:
+                    same = held[-1][0] == row[0]
+                    yield bucket(held, left_open, same)
+                    held, size, left_open = [], 0, same
+                held.append(row)
+                size += len(row[4]) + len(row[5])
+        if held:
+            yield bucket(held, left_open, True)
+
+    order = ("hash", side, other)
+    return contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{AROUND}, end long")
+
+
+def frequent(contexts: DataFrame) -> DataFrame:
+    """Spans of strings that occur earlier, for anchors with very many contexts."""
+    spans, rest = None, around_anchors(contexts)
+    for side in ("right", "left"):
+        found = staged(sliced(rest, side), f"sliced-{side}")
+        own = found.where("left is null").select("doc", "tag", "begin", "end")
+        spans = own if spans is None else spans.union(own)
+        rest = found.where("left is not null").drop("end")
+    return spans.union(digested(rest))
+
+
 def window_digests(rows: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of the strings of LENGTH bytes in each row of a byte matrix."""
     found, widths = _BYTES[rows] ^ mixed(np.array([seed], dtype=np.uint64))[0], {}
@@ -290,11 +403,11 @@ def window_digests(rows: np.ndarray, seed: int) -> np.ndarray:
 
 
 def digested(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contexts: the least (doc, place) of each string's digest."""
+    """The same for what two orders of ``frequent`` leave: the least (doc, place) of each string's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches, BATCH_BYTES // 16):
-            data = batch.column("bytes").to_pylist()
+            data = [a[::-1] + b for a, b in zip(*(batch.column(n).to_pylist() for n in ("left", "right")))]
             sizes = np.array([len(d) for d in data])
             named = [batch.column(n).to_numpy() for n in ("doc", "tag", "begin")]
             for size in np.unique(sizes):
@@ -466,7 +579,7 @@ def repeated_spans(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     stored = packed(long_rows)
     cut = staged(cut_contexts(open_rows, stored), "open")
     many = F.col("contexts") > MOST_CONTEXTS
-    spans = staged(whole.union(compared(cut.where(~many))).union(digested(cut.where(many))), "spans")
+    spans = staged(whole.union(compared(cut.where(~many))).union(frequent(cut.where(many))), "spans")
     found = removed(spans, stored).dropDuplicates(["doc", "tag"])
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     slim = rows.select(

@@ -80,3 +80,32 @@ def test_frequent_strings_are_told_in_order_without_a_join(spark):
     finally:
         for name, value in kept.items():
             spark.conf.set(name, value)
+
+
+def test_shared_lengths():
+    keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"ab\0", b"abcd"]
+    for other in (b"", b"a", b"ab\0", b"abcd", b"ab\0\0"):
+        want = [next((i for i, (x, y) in enumerate(zip(k, other)) if x != y), min(len(k), len(other))) for k in keys]
+        assert repeats.shared_lengths(keys, other).tolist() == want
+
+
+def passages(count):
+    """Texts of chance words round two passages that all have; every third ends or begins with an edge that few share."""
+    first, second = prose(1, 60), prose(2, 60)
+    near = [prose(30 + i, 4) for i in range(5)]
+    return [
+        (i, f"{prose(100 + 2 * i, 20)} {near[i % 5] if i % 3 == 0 else ''}{first}{near[i % 4] if i % 3 == 1 else ''} {prose(101 + 2 * i, 20)}{second}{i}")
+        for i in range(count)
+    ]
+
+
+@pytest.mark.parametrize("size", [20_000, 100_000])
+def test_contexts_of_frequent_anchors_are_not_made_rows_of_strings(spark, monkeypatch, size):
+    monkeypatch.setattr(repeats, "MOST_CONTEXTS", 20)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", size)
+    plain, strings = repeats.repeats_in_order, []
+    monkeypatch.setattr(repeats, "repeats_in_order", lambda rows: strings.append(rows.count()) or plain(rows))
+    for count in (100, 400):
+        docs = passages(count)
+        assert ordered(found(spark, docs)) == ordered(plain_repeats(docs))
+    assert strings[1] < 400 * 4  # each text has four edges of passages; a row for each string of their contexts makes 83,824
