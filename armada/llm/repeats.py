@@ -297,7 +297,7 @@ def shared_lengths(keys: list[bytes], other: bytes) -> np.ndarray:
 
 
 def sliced(contexts: DataFrame, side: str) -> DataFrame:
-    """Rows of ``around_anchors`` that may be repeated outside their bucket, and ``end`` of spans known to repeat (bytes null).
+    """Rows of ``around_anchors`` that may be repeated outside their bucket, and spans known to repeat (both sides null).
 
     Rows are put in order by anchor and side, and buckets are cut where they are full, so no anchor is too
     frequent. Strings of one anchor that are equal share its bytes of the side as well: the rows with these bytes are
