@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from armada.session import new_path
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, what a query has shuffled is removed as it ends, not when the driver next collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
-    """Intermediate tables of one operator, removed once its result is written."""
+    """Intermediate tables of one operator, removed once its result is written; shuffle files go with each write."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -37,7 +50,8 @@ class Scratch:
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, label)
         self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *labels: str) -> None:
@@ -50,7 +64,8 @@ class Scratch:
 
     def result(self, df: DataFrame, label: str) -> DataFrame:
         """Write the result to a table that stays, and remove the others."""
-        kept = staged(df, label)
+        with shuffles_dropped(self.spark):
+            kept = staged(df, label)
         self.free(*(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in self.paths))
         return kept
 

@@ -8,9 +8,11 @@ pairs inside the size band can match.
 
 Three passes keep large groups of near copies linear in rows. The first compares neighbours of each tile
 only and joins what is LOOSE or more alike to groups. The second takes tiles that still hold two groups,
-cuts long ones into blocks, and compares all pairs across groups inside the band: a 256-bit parity
-signature gives a lower bound on the elements not shared, hence an upper bound on the overlap, and
-what may still match is settled by intersecting the sorted arrays. What matches joins groups, so every
+cuts long ones into blocks, and compares all pairs across groups inside the band: a parity signature of
+a bit for each one or two shingles gives a lower bound on the elements not shared, hence an upper bound on
+the overlap, and what may still match is settled by intersecting the sorted arrays. Pairs that share a
+passage alone are as many as the square of its texts, so they must fall by the signature: texts travel for
+the others only. What matches joins groups, so every
 link is inside one group. The third cuts the classes of each group into blocks; each two blocks meet
 once, and all their overlaps come from one product of matrices. Of a block come, for each class, its
 number of links and one class that it is connected with, so the pairs of a group are never rows.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,7 +34,8 @@ from armada.llm.common import WORD, Scratch, gram_hashes, lower_ascii, share_of,
 from armada.llm.components import components
 
 COMMON = 3
-WORDS_IN_SIGNATURE = 4
+CELLS = 256  # of a signature, at least
+WORDS_IN_TILE = 32  # 64-bit words of a signature in the rows of tiles, at most
 SAMPLE = 4000  # texts from which frequent words and shingles are estimated; they only set the order
 FREQUENT = 8  # texts of the sample that hold a frequent shingle
 FREQUENT_WORD = 8  # times a word of the sample is found to be told from rare ones
@@ -83,11 +87,26 @@ def least_overlap(size: int, percent: int) -> int:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of 256 cells."""
-    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    """Parity of the elements in each of CELLS cells, or as many as the power of two up to the size of the set."""
+    cells = max(CELLS, 1 << len(found).bit_length() >> 1)
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(counts.astype(np.uint8)).view("<i8")
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures along the last axis in that many words, if they have more: cells that fall together add up."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def unpacked(column: pa.ListArray) -> list[np.ndarray]:
+    """The signatures of a column."""
+    ends = np.cumsum(pc.list_value_length(column).to_numpy())
+    return np.split(column.flatten().to_numpy().view(np.uint64), ends[:-1])
+
+
 def frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, dict[bytes, int]]:
     """From a bounded sample: frequent shingles, most frequent last, and the level of frequent words."""
     total = texts.count()
@@ -208,25 +227,57 @@ def in_band(small, large, percent: int):
     return 100 * small >= percent * large
 
 
-def may_match(size_a, size_b, a, b, percent: int):
-    """Whether the overlap that the signatures leave open is enough."""
-    apart = sum((F.bit_count(F.element_at(a, i).bitwiseXOR(F.element_at(b, i))) for i in range(1, WORDS_IN_SIGNATURE + 1)), F.lit(0))
-    total = size_a + size_b
+def may_match(total, apart, percent: int):
+    """Whether sets of that total size, whose signatures differ in ``apart`` cells, may overlap enough."""
     return (100 + percent) * (total - apart) >= 2 * percent * total
 
 
-def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def cells_apart(bits: list[np.ndarray]):
+    """For signatures in an order in which their widths ascend inside tiles: a function of a row and the end of those
+    that follow it in its tile, which gives the numbers of cells in which it differs from each of these."""
+    words = np.array([len(x) for x in bits])
+    number = np.zeros(len(bits), dtype=np.int64)  # of a row, among those of its width
+    held = {}
+    for width in np.unique(words).tolist():
+        rows = np.flatnonzero(words == width)
+        number[rows] = np.arange(len(rows))
+        held[width, width] = np.stack([bits[i] for i in rows])
+
+    def apart(i: int, end: int) -> np.ndarray:
+        width, at, found = int(words[i]), i + 1, []
+        while at < end:
+            wide = int(words[at])
+            stop = end if words[end - 1] == wide else at + int(np.searchsorted(words[at:end], wide, side="right"))
+            if (wide, width) not in held:
+                held[wide, width] = folded(held[wide, wide], width)
+            others = held[wide, width][number[at] : number[at] + stop - at]
+            found.append(np.bitwise_count(others ^ bits[i]).sum(axis=1).astype(np.int64))
+            at = stop
+        return found[0] if len(found) == 1 else np.concatenate(found)
+
+    return apart
+
+
+def tile_pairs(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may match, by block of a tile.
 
-    Rows are (key, size, id, label, bits). A tile of more than TILE rows is cut into blocks by id, and
-    each two blocks meet once; no pair of one component is looked at.
+    Rows are (key, size, id, label), signs (id, bits). A tile of more than TILE rows is cut into blocks by
+    id, and each two blocks meet once; no pair of one component is looked at. As a row stands in many tiles,
+    it has the signature in WORDS_IN_TILE words only.
     """
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = [folded(x, WORDS_IN_TILE).view(np.int64) for x in unpacked(batch.column("bits"))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bits, pa.list_(pa.int64()))], names=["id", "bits"])
+
     blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     cut = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "own", "size", "id", "label", "bits",
+        "own", "size", "id", "label",
     )
+    dealt = dealt.join(signs.select("id", "bits").mapInArrow(shorter, "id long, bits array<bigint>"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -236,7 +287,7 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
             size, ids, label, own = take("size"), take("id"), take("label"), take("own")
             low, high = take("low"), take("high")
             tile = np.concatenate([[0], np.flatnonzero((take("key")[1:] != take("key")[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1, [len(ids)]])
-            bits = np.stack(table.column("bits").to_pylist()).astype(np.int64).view(np.uint64)
+            apart = cells_apart([x for chunk in table.column("bits").chunks for x in unpacked(chunk)])
             ends = np.repeat(tile[1:], np.diff(tile))
             found_a, found_b = [], []
             for i in range(len(ids) - 1):
@@ -250,9 +301,7 @@ def tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     wanted &= own[others] != own[i]
                 if not wanted.any():
                     continue
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1).astype(np.int64)
-                total = size[others] + size[i]
-                wanted &= (100 + percent) * (total - apart) >= 2 * percent * total
+                wanted &= may_match(size[others] + size[i], apart(i, end), percent)
                 hits = ids[others][wanted]
                 found_a.append(np.full(len(hits), ids[i]))
                 found_b.append(hits)
@@ -315,11 +364,18 @@ def verified(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
 
 def bounded(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs of the size band that the signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables(batches, BATCH_BYTES):
+            total = batch.column("sa").to_numpy() + batch.column("sb").to_numpy()
+            sides = zip(unpacked(batch.column("ba")), unpacked(batch.column("bb")))
+            apart = [np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum() for x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(may_match(total, np.array(apart, dtype=np.int64), percent)))
+
     one = signs.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
     two = signs.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
-    rows = pairs.join(one, "a").join(two, "b")
-    band = in_band(F.least("sa", "sb"), F.greatest("sa", "sb"), percent)
-    return rows.where(band & may_match(F.col("sa"), F.col("sb"), F.col("ba"), F.col("bb"), percent)).select("a", "b")
+    rows = pairs.join(one, "a").join(two, "b").where(in_band(F.least("sa", "sb"), F.greatest("sa", "sb"), percent))
+    return rows.select("a", "b", "sa", "sb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
 def sets_of(texts: DataFrame, members: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -482,9 +538,9 @@ def near_duplicates(
     shared = tiles.select("key", "size", "id").join(wanted, "id", "left_semi")
     marked = staged(shared.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id")), "marked")
     open_keys = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = staged(marked.join(open_keys, "key", "left_semi"), "open-tiles").join(signs.select("id", "bits"), "id")
-    pairs = tile_pairs(left, percent).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
-    pairs = staged(pairs.select("a", "b"), "pairs")
+    left = staged(marked.join(open_keys, "key", "left_semi"), "open-tiles")
+    pairs = tile_pairs(left, signs, percent).groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON)
+    pairs = staged(bounded(pairs.select("a", "b"), signs, percent), "pairs")
     second = staged(verified(pairs, sets, n, percent), "second-links")
     if not second.isEmpty():
         groups = components(first.union(second))
